@@ -218,7 +218,7 @@ class Tagger:
 
 
 @functools.lru_cache
-def trained(n: int = 360, seed: int = 5) -> Tagger:
+def trained(n: int = 600, seed: int = 5) -> Tagger:
     return Tagger(labelled(n, seed))
 
 
@@ -245,13 +245,14 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
             left.append((begin, end))
             at = begin
         own = left[::-1]
-        quiet, hit = 0, None
+        quiet = 0
         for w in WORDS.finditer(text, start):
             own.append(w.span())
             quiet = 0 if TRIGGER.search(text, *w.span()) else quiet + 1
-            hit = w.end()
-            if quiet == CONTEXT:
+            if quiet == 2 * CONTEXT:  # the next window's words before its trigger are then its own
                 break
+        own = own[: len(own) - max(0, quiet - CONTEXT)]
+        hit = own[-1][1]
         out.append(own)
         last = hit
         m = TRIGGER.search(text, hit)
