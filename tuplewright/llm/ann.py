@@ -24,7 +24,10 @@ from ._common import dimension, matrix, unit
 
 EPSILON = 2.5
 QUERY_BYTES = 16 << 20
-ROWS = 8192
+#: Rows and queries compared at once, and pairs reranked at once: these bound a task's memory.
+ROWS = 2048
+ASKING = 512
+PAIRS = 1 << 15
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -62,7 +65,7 @@ class Searcher:
         self.least = np.full(len(ids), -2.0)
         self.reranked = self.compared = 0
 
-    def add(self, ids: np.ndarray, x: np.ndarray, step: int = 1024) -> None:
+    def add(self, ids: np.ndarray, x: np.ndarray, step: int = ASKING) -> None:
         d = x.shape[1]
         codes, c = encode(x, self.turn)
         signs = (np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
@@ -76,7 +79,10 @@ class Searcher:
             q, r = np.nonzero(guess + bound >= floor[:, None])
             other = self.ids[at + q] != ids[r]
             q, r = q[other] + at, r[other]
-            s = np.einsum("ij,ij->i", self.x[q], x[r])
+            s = np.empty(len(q))
+            for k in range(0, len(q), PAIRS):
+                some = slice(k, k + PAIRS)
+                s[some] = np.einsum("ij,ij->i", self.x[q[some]], x[r[some]])
             self.compared += guess.size
             self.reranked += len(q)
             old = (self.q >= at) & (self.q < at + step)
