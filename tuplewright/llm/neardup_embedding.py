@@ -1,14 +1,16 @@
 """Near-duplicate vectors by product quantisation, with an exact cosine rerank.
 
 A coarse quantiser (lists) and residual subspace codebooks are fitted on a bounded sample. Every row then gets its
-home list, its residual's code and the code's error e. A row visits a list if the bisecting plane between that
-list's centre and its own home's is at most `margin` away: all partners lie behind at most that plane. In a list,
-visitors estimate their distance to each member from lookup tables, one per subspace, over the member's code; by
-the triangle inequality a partner's estimate is at most r + e, so no partner within a visited list is missed, and
-pairs that pass are compared by exact cosine in double precision.
+home list, its residual's code and the code's error e. A row visits a list if the plane that bisects that list's
+centre and its own home's is at most `margin` away. Two partners at most r apart lie on either side of the plane of
+their homes, so the nearer one is at most r / 2 from it: one of them visits the other's list for margin r / 2,
+whatever the data. In a list, visitors estimate their distance to each member from lookup tables, one per subspace,
+over the member's code; by the triangle inequality a partner's estimate is at most r + e, so no partner within a
+visited list is missed, and pairs that pass are compared by exact cosine in double precision.
 
-margin=None takes 4 r / sqrt(d), over four standard deviations of a partner's displacement across a plane when its
-direction is random; margin "exact" takes r itself, which is complete for any data and visits far more lists.
+margin "exact" takes r / 2, which is complete for any data. margin None takes 2.5 r / sqrt(d) if that is less: the
+displacement of partners across a plane, when its direction is random, has a standard deviation of r / sqrt(d) at
+most, and a pair is lost only where it is over five of them.
 
 Plan: home lists with many members, or visitors, are dealt over cells (list, member part, visitor part) of at
 most MEMBERS x VISITORS rows, from counts per list. A cell returns how many links each row has in it and a
@@ -114,7 +116,7 @@ def link(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector: str
 def _links(rows: DataFrame, d: int, least: float, margin) -> tuple[DataFrame, DataFrame] | None:
     spark = rows.sparkSession
     r = float(np.sqrt(max(2 - 2 * least, 0))) + 1e-6
-    margin = r if margin == "exact" else 4 * r / np.sqrt(d) if margin is None else float(margin)
+    margin = r / 2 if margin == "exact" else min(r / 2, 2.5 * r / np.sqrt(d)) if margin is None else float(margin)
     total = rows.count()
     sample = _sample(rows, d, total)
     if not len(sample):
