@@ -1,12 +1,14 @@
 """What the operators of this package share: tables, durable intermediate results, vectors, components."""
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import checkpoint_folder, durable
+
+__all__ = ["SEGMENT", "WORD", "checkpoint_folder", "components", "dimension", "durable", "matrix", "merge_labels", "runs", "segments", "table", "unit"]
+
 #: White space and words of the contracts on words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters of text that a worker holds as Python words at once.
@@ -17,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset and Spark runs on this machine alone, a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint: lineage ends there, and a lost executor doesn't lose it."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def segments(text: str, limit: int = SEGMENT):
     """text in pieces of about limit characters, cut only before a white-space character, so that words stay whole."""
     start, n = 0, len(text)
