@@ -347,17 +347,17 @@ def _(spark, rel):
     return history.stats(rel(X.LOG))
 
 
-_DIGEST = ", x AS (SELECT *, CAST(floor((txn_lsn - 1) / 512) AS BIGINT) AS s, sha256(concat_ws('|', lsn, txn_lsn, epoch, event, object_type, object_id, relation, subject_type, subject_id, subject_relation, detail)) AS d FROM l), g AS (SELECT s, min(lsn) AS first_lsn, max(txn_lsn) AS last_lsn, max(epoch) AS epoch, count(*) AS rows, sha256(string_agg(d, '' ORDER BY lsn)) AS digest FROM x GROUP BY s)"
+_DIGEST = ", x AS (SELECT *, CAST(floor((txn_lsn - 1) / 128) AS BIGINT) AS s, sha256(concat_ws('|', lsn, txn_lsn, epoch, event, object_type, object_id, relation, subject_type, subject_id, subject_relation, detail)) AS d FROM l), g AS (SELECT s, min(lsn) AS first_lsn, max(txn_lsn) AS last_lsn, max(epoch) AS epoch, count(*) AS rows, sha256(string_agg(d, '' ORDER BY lsn)) AS digest FROM x GROUP BY s)"
 
 
 @query("s11_chain", _L + _DIGEST + " SELECT row_number() OVER (ORDER BY s) AS seq, first_lsn, last_lsn, epoch, rows, digest, coalesce(lag(digest) OVER (ORDER BY s), '') AS prev_digest FROM g")
 def _(spark, rel):
-    return history.segments(rel(X.LOG), 512)
+    return history.segments(rel(X.LOG), 128)
 
 
 @query("s12_chain_faults", _L + _DIGEST + ", k AS (SELECT row_number() OVER (ORDER BY s) AS seq FROM g), m AS (SELECT max(seq) AS n FROM k) SELECT CAST(3 AS BIGINT) AS seq, 'gap' AS fault FROM m WHERE n >= 3")
 def _(spark, rel):
-    return history.chain_faults(history.segments(rel(X.LOG), 512).where("seq <> 2"))
+    return history.chain_faults(history.segments(rel(X.LOG), 128).where("seq <> 2"))
 
 
 @query("l18_chain_gaps", "SELECT CAST(event_id + 1 AS BIGINT) AS seq FROM (SELECT event_id, lag(event_type) OVER (ORDER BY event_id) AS p FROM events) WHERE p = 'click' AND event_id + 1 IN (SELECT event_id + 1 FROM events WHERE event_type <> 'click')")

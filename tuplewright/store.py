@@ -282,14 +282,13 @@ class Store(Reader):
 
     def _rewrite(self, name: str, alias: str, upto: int) -> None:
         """Only the days that hold the name are written again, each replaced as a whole; old checkpoints go."""
+        self.checkpoint()  # while the removes still bear the name that an older checkpoint may hold
         stored = self.spark.read.schema(STORED).parquet(self.folder.at("log"))
         days = [r["commit_day"] for r in erasure.affected_days(stored, self.spark.createDataFrame([(name,)], "n string")).collect()]  # days of one log
         gone = self.spark.createDataFrame([(name, alias, upto)], "name string, alias string, erase_lsn long")
         new = durable(erasure.redact(stored.where(F.col("commit_day").isin(days)), gone))
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commit_day").parquet(self.folder.at("log"))
-        old = list(self.checkpoints())
-        self.checkpoint()
-        for n in old:
+        for n in self.checkpoints():
             if n < upto:
                 self.folder.delete(f"checkpoints/lsn={n}")
 
