@@ -37,8 +37,9 @@ def running_next(rows: DataFrame, order: str, value: Column, name: str, bucket:
     own = rows.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / F.lit(bucket)))
     starts = own.where("_v is not null").groupBy("_b").agg(F.min_by("_v", order).alias("_first"))
     every = own.groupBy("_b").agg(F.lit(1).alias("_")).join(starts, "_b", "left")
-    carried = every.withColumn("_carry", F.first("_first", True).over(Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing))).select(F.col("_b").alias("_c"), "_carry")
-    within = F.first("_v", True).over(Window.partitionBy("_b").orderBy(order).rangeBetween(0, Window.unboundedFollowing))
+    carried = every.withColumn("_carry", F.last("_first", True).over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))).select(F.col("_b").alias("_c"), "_carry")
+    # backwards, as a frame that only grows costs one pass and one that only shrinks is computed anew for each row
+    within = F.last("_v", True).over(Window.partitionBy("_b").orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, 0))
     out = own.withColumn("_w", within).join(carried, F.col("_b") == F.col("_c"), "left")
     return out.withColumn(name, F.coalesce("_w", "_carry")).drop("_v", "_b", "_c", "_w", "_carry")
 

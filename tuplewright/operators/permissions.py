@@ -78,9 +78,31 @@ def direct(tuples: DataFrame) -> DataFrame:
 
 
 def walk(edges: DataFrame, starts: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
-    """((start, node, frames), (start) of walks that the limit cut): least number of frames on a path to each node."""
+    """((start, node, frames), (start) of walks that the limit cut): least number of frames on a path to each node.
+
+    Many starts share what their first step leads to (documents of a folder): if fewer such frames than
+    starts lead on, only those are walked, and each start's walk is put together from its first step and theirs.
+    """
     e = durable(edges.toDF("src", "dst", "cost"))
-    found = durable(starts.toDF("start").where("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(1).alias("frames")))
+    s = durable(starts.toDF("start").where("start is not null").distinct())
+    first = durable(s.join(e, F.col("start") == F.col("src")).select("start", F.col("dst").alias("via"), "cost"))
+    shared = durable(first.select("via").distinct())
+    if shared.join(e, F.col("via") == F.col("src"), "left_semi").count() * 2 > s.count():
+        return _walk(e, s, limit)
+    ways, short = _walk(e, shared, limit)
+    long = first.join(ways.toDF("w", "node", "f"), F.col("via") == F.col("w")).select("start", "node", (F.col("f") + F.col("cost")).alias("frames"))
+    here = s.select("start", F.col("start").alias("node"), F.lit(1).alias("frames"))
+    best = here.unionByName(long.where(F.col("frames") <= limit)).groupBy("start", "node").agg(F.min("frames").alias("frames"))
+    # the limit can only cut walks from frames whose own walks come near it
+    near = ways.groupBy("start").agg(F.max("frames").alias("f")).where(F.col("f") >= limit).select("start")
+    near = short.unionByName(near).distinct().toDF("w")
+    cut = first.join(near, F.col("via") == F.col("w"), "left_semi").join(ways.toDF("w2", "node", "f"), F.col("via") == F.col("w2"))
+    cut = cut.where(F.col("f") + F.col("cost") > limit).select("start").unionByName(first.join(short.toDF("w3"), F.col("via") == F.col("w3"), "left_semi").select("start"))
+    return best, cut.distinct()
+
+
+def _walk(e: DataFrame, starts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    found = durable(starts.toDF("start").select("start", F.col("start").alias("node"), F.lit(1).alias("frames")))
     fresh, cut, rounds = found, None, 0
     while not fresh.isEmpty():
         rounds += 1
@@ -94,7 +116,7 @@ def walk(edges: DataFrame, starts: DataFrame, limit: int = LIMIT) -> tuple[DataF
         found = found.unionByName(fresh)
         if rounds % 8 == 0:
             found = durable(found)
-    best = found.groupBy("start", "node").agg(F.min("frames").alias("frames"))
+    best = durable(found.groupBy("start", "node").agg(F.min("frames").alias("frames")))
     return best, (cut if cut is not None else found.select("start").limit(0)).distinct()
 
 
