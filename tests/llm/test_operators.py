@@ -458,6 +458,44 @@ def test_planes_against_popcount():
         assert got == {(i, j) for i in range(70) for j in range(300) if int(q[i] ^ a[j]).bit_count() <= radius}
 
 
+def test_wide_planes_against_popcount():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**64, (200, 4), dtype=np.uint64)
+    q = a[:50].copy()
+    for k in range(50):
+        for b in rng.integers(0, 256, 2 * k):
+            q[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    count = lambda x, y: sum(int(u ^ v).bit_count() for u, v in zip(x, y, strict=True))
+    for radius in (0, 5, 30, 51, 63, 64):
+        got = set(zip(*(x.tolist() for x in simhash.Planes(a).within(q, radius)), strict=True))
+        assert got == {(i, j) for i in range(50) for j in range(200) if count(q[i], a[j]) <= radius}
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs, near, whole = [], defaultdict(list), []
+    for k in range(1500):
+        w = [word() for _ in range(rng.choice([8, 60, 300]))]
+        docs.append((len(docs), " ".join(w)))
+        whole.append(w)
+    for k in range(0, 1500, 5):
+        w = list(whole[k])
+        if len(w) > 20:
+            for _ in range(max(1, len(w) // 90)):
+                w[rng.randrange(len(w))] = word()
+        docs.append((len(docs), " ".join(w)))
+        near[k].append(len(docs) - 1)
+    for bucket in (simhash.WIDE_BUCKET, 32):
+        old, simhash.WIDE_BUCKET = simhash.WIDE_BUCKET, bucket
+        try:
+            kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        finally:
+            simhash.WIDE_BUCKET = old
+        assert set(range(1500)) <= kept
+        assert len(kept - set(range(1500))) <= 0.02 * 300
+
+
 def test_long_text_fingerprint():
     text = " ".join(f"word{k % 977}" for k in range(300_000))
     assert simhash.fingerprint(text, 3) == plain_fingerprint(text, 3)

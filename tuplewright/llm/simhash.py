@@ -8,8 +8,14 @@ pair is lost, at any size. Only distinct fingerprints are compared, so copies co
 dealt over cells of two parts of at most PART fingerprints each.
 
 In a cell the fingerprints lie as bit planes, 64 fingerprints to a word. Planes are compared in turn; the
-differences are counted in carry-save form (ones, twos, fours, over), and a block of queries is abandoned as soon
-as every candidate is over the radius. A cell returns a spanning forest of its links, never its pairs.
+differences are counted in carry-save form (ones, twos, fours, ..., over), and a block of queries is abandoned as
+soon as every candidate is over the radius. A cell returns a spanning forest of its links, never its pairs.
+
+`deduplicated` looks for less similar copies: fingerprints of WORDS x 64 bits over five-word shingles, linked where
+SIMILARITY of the bits agree, which texts with a Jaccard similarity of 0.8 do and unrelated ones, at over nine
+standard deviations, don't. No choice of blocks is exact at such a radius, so its tables take their keys from random bits,
+as many tables as find a pair of Jaccard similarity 0.8 with probability RECALL; their number grows with n as a
+power under a quarter.
 
 Cases: null text is empty text; a document without words has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle of all words; repeated rows have equal fingerprints; null ids don't become a
@@ -31,6 +37,13 @@ from ._common import components, durable, merge_labels
 BUCKET = 4096
 PART = 8192
 BITS = 64
+#: Of `deduplicated`: words of a fingerprint, share of equal bits, chance that a pair meets in a table, bucket size.
+WORDS = 4
+SIMILARITY = 0.8
+RECALL = 0.99
+WIDE_BUCKET = 1024
+#: Share of equal bits of two texts with Jaccard similarity 0.8: 1 - acos(2 J / (1 + J)) / pi.
+AGREE = 0.849
 
 
 def words_of(text: str):
@@ -46,25 +59,44 @@ def words_of(text: str):
     yield data[start:].lower().split()
 
 
-def fingerprint(text: str, width: int) -> int:
-    ones, total, tail = np.zeros(BITS, np.int64), 0, []
+def _more(h: np.ndarray, words: int) -> list[np.ndarray]:
+    """h, and words - 1 further hashes mixed from it."""
+    out = [h]
+    for k in range(1, words):
+        z = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(z ^ (z >> np.uint64(31)))
+    return out
+
+
+def wide_fingerprint(text: str, width: int, words: int = 1) -> np.ndarray:
+    """words x 64 bits, as uint64; the first word is `fingerprint`."""
+    ones, total, tail = np.zeros((words, BITS), np.int64), 0, []
     hash64 = xxhash.xxh64_intdigest
+
+    def add(h: np.ndarray) -> None:
+        for k in range(0, len(h), 1 << 16):
+            for j, more in enumerate(_more(h[k : k + (1 << 16)], words)):
+                ones[j] += np.unpackbits(more.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
     for part in words_of(text):
         w = tail + part
         if len(w) >= width:
             h = np.array([hash64(b" ".join(s), 42) for s in zip(*(w[k:] for k in range(width)), strict=False)], "<u8")
-            for k in range(0, len(h), 1 << 16):
-                ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            add(h)
             total += len(h)
             tail = w[len(w) - width + 1 :] if width > 1 else []
         else:
             tail = w
-    if not total:
-        if not tail:
-            return 0
-        return hash64(b" ".join(tail), 42)
-    bits = (2 * ones > total).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    if not total and tail:
+        add(np.array([hash64(b" ".join(tail), 42)], "<u8"))
+        total = 1
+    return np.packbits((2 * ones > total).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprint(text: str, width: int) -> int:
+    return int(wide_fingerprint(text, width)[0])
 
 
 def fingerprints(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
@@ -86,35 +118,53 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame
     return df.mapInArrow(run, T.StructType([*rest, T.StructField("fp", T.LongType())]))
 
 
+def _csa(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry and sum of three bits."""
+    u = a ^ b
+    return (a & b) | (u & c), u ^ c
+
+
 class Planes:
-    """Fingerprints as 64 bit planes of packed words."""
+    """Fingerprints (n, words) as bit planes of packed words."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps, self.n = fps, len(fps)
+        fps = fps.reshape(len(fps), -1)
+        self.n, self.bits = len(fps), BITS * fps.shape[1]
         width = -(-self.n // 64) * 64
-        bits = np.zeros((BITS, width), np.uint8)
-        bits[:, : self.n] = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+        bits = np.zeros((self.bits, width), np.uint8)
+        bits[:, : self.n] = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(self.n, -1), axis=1, bitorder="little").T
         self.planes = np.packbits(bits, axis=1, bitorder="little").view("<u8")
         live = np.zeros(width, np.uint8)
         live[: self.n] = 1
         self.live = np.packbits(live, bitorder="little").view("<u8")
 
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) positions at most radius bits apart. Counters hold radius + 1 differences in binary."""
-        masks = np.where((queries[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1), ~np.uint64(0), np.uint64(0))
+        """(query, member) positions at most radius bits apart.
+
+        Counters hold up to radius + 1 differences in binary digits. Eight planes at a time are added by carry-save
+        adders to the digits of one, two and four; their carry goes on to the higher digits.
+        """
+        queries = queries.reshape(len(queries), -1)
+        every = ~np.uint64(0)
+        masks = np.where((np.repeat(queries, BITS, axis=1) >> np.tile(np.arange(BITS, dtype=np.uint64), queries.shape[1])) & np.uint64(1), every, np.uint64(0))
         shape = (len(queries), len(self.live))
-        digits = (radius + 1).bit_length()
+        digits = max(3, (radius + 1).bit_length())
         start = (1 << digits) - 1 - radius  # the counter overflows with difference number radius + 1
-        count = [np.full(shape, ~np.uint64(0) if start >> k & 1 else np.uint64(0)) for k in range(digits)]
+        count = [np.full(shape, every if start >> k & 1 else np.uint64(0)) for k in range(digits)]
         over = np.broadcast_to(~self.live, shape).copy()
-        for b in range(BITS):
-            carry = self.planes[b][None] ^ masks[:, b, None]
-            for c in count:
-                out = c & carry
-                c ^= carry
-                carry = out
+        for b in range(0, self.bits, 8):
+            x = [self.planes[b + k][None] ^ masks[:, b + k, None] for k in range(8)]
+            two_a, one = _csa(count[0], x[0], x[1])
+            two_b, one = _csa(one, x[2], x[3])
+            four_a, two = _csa(count[1], two_a, two_b)
+            two_a, one = _csa(one, x[4], x[5])
+            two_b, count[0] = _csa(one, x[6], x[7])
+            four_b, count[1] = _csa(two, two_a, two_b)
+            carry, count[2] = _csa(count[2], four_a, four_b)
+            for k in range(3, digits):
+                count[k], carry = count[k] ^ carry, count[k] & carry
             over |= carry
-            if b >= radius and b % 4 == 3 and (over == ~np.uint64(0)).all():
+            if b + 8 > radius and (over == every).all():
                 return np.zeros(0, np.int64), np.zeros(0, np.int64)
         near = ~over
         q, w = np.nonzero(near)
@@ -123,14 +173,20 @@ class Planes:
         return q[row], w[row] * 64 + bit
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (node, smaller node), of the links between a and b; within a if b is None."""
-    every = a if b is None else np.append(a, b)
-    nodes, where = np.unique(every, return_inverse=True)
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int, a_bits: np.ndarray | None = None, b_bits: np.ndarray | None = None, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (node, smaller node), of the links between nodes a and b; within a if b is None.
+
+    bits: the nodes' fingerprints, if they are not the nodes themselves.
+    """
+    a_bits = a if a_bits is None else a_bits
+    b_bits = b if b_bits is None else b_bits
+    nodes, where = np.unique(a if b is None else np.append(a, b), return_inverse=True)
     label = np.arange(len(nodes))
     in_a = where[: len(a)]
     in_q = in_a if b is None else where[len(a) :]
-    planes, queries = Planes(a), a if b is None else b
+    if not len(in_a) or not len(in_q):
+        return nodes[:0], nodes[:0]
+    planes, queries = Planes(a_bits), a_bits if b is None else b_bits
     for at in range(0, len(queries), step):
         q, m = planes.within(queries[at : at + step], radius)
         other = in_q[at + q] != in_a[m]
@@ -173,12 +229,6 @@ def groups(fps: DataFrame, radius: int = 3) -> DataFrame:
             value = F.shiftleft(value, bits) + F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
         parts.append(value)
     keyed = fps.select("fp", F.posexplode(F.array(*parts)).alias("table", "key"))
-    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    sizes = sizes.select(F.col("table").alias("t"), F.col("key").alias("k"), F.ceil(F.col("n") / F.lit(PART * 3 // 4)).cast("int").alias("s"))
-    dealt = keyed.join(sizes, (F.col("table") == F.col("t")) & (F.col("key") == F.col("k")), "left").withColumn("s", F.coalesce("s", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("s")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    dealt = dealt.select("table", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         fp = cell["fp"].to_numpy().view(np.uint64)
@@ -186,14 +236,91 @@ def groups(fps: DataFrame, radius: int = 3) -> DataFrame:
         a, b = forest(fp[first], None if cell["i"].iloc[0] == cell["j"].iloc[0] else fp[~first], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    edges = dealt.groupBy("table", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-    return components(edges).toDF("fp", "component")
+    return components(_cells(keyed, PART).applyInPandas(compare, "a long, b long").distinct()).toDF("fp", "component")
+
+
+def _cells(keyed: DataFrame, part: int):
+    """keyed (table, key, fp, ...) grouped into cells: a bucket of over part rows is cut, and each two of its cuts meet."""
+    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > part)
+    sizes = sizes.select(F.col("table").alias("t"), F.col("key").alias("k"), F.ceil(F.col("n") / F.lit(max(1, part * 3 // 4))).cast("int").alias("s"))
+    dealt = keyed.join(sizes, (F.col("table") == F.col("t")) & (F.col("key") == F.col("k")), "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("s")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("t", "k", "s", "other")
+    return dealt.groupBy("table", "key", "i", "j")
+
+
+def wide_fingerprints(df: DataFrame, text: str = "text", width: int = 5, words: int = WORDS) -> DataFrame:
+    """df without its text, with bits (words x 8 bytes) and fp, a long hash of them."""
+    rest = [f for f in df.schema.fields if f.name not in (text, "fp", "bits")]
+
+    def run(batches):
+        for batch in batches:
+            seen: dict[str, bytes] = {}
+            out = []
+            for t in batch[text].to_pylist():
+                t = t or ""
+                if t not in seen:
+                    seen[t] = wide_fingerprint(t, width, words).astype("<u8").tobytes()
+                out.append(seen[t])
+            yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(out, pa.binary())], [*(f.name for f in rest), "bits"])
+
+    found = df.mapInArrow(run, T.StructType([*rest, T.StructField("bits", T.BinaryType())]))
+    return found.withColumn("fp", F.xxhash64("bits"))
+
+
+def samples(n: int, bits: int, agree: float = AGREE, recall: float = RECALL, seed: int = 1) -> np.ndarray:
+    """(tables, bits of a key): the random bit positions that key each table, for n fingerprints."""
+    size = max(0, int(np.ceil(np.log2(max(n, 1) / WIDE_BUCKET))))
+    if not size:
+        return np.zeros((1, 0), np.int64)
+    number = int(np.ceil(np.log(1 - recall) / np.log(1 - agree**size)))
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.choice(bits, size, replace=False) for _ in range(number)])
+
+
+def wide_groups(prints: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """(fp, component) of distinct (fp, bits) that have a link to another."""
+    at = samples(prints.count(), BITS * words)
+    radius = int((1 - similarity) * BITS * words)
+
+    def keys(batches):
+        for batch in batches:
+            n = batch.num_rows
+            bits = np.unpackbits(np.frombuffer(b"".join(batch["bits"].to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little")
+            key = np.stack([bits[:, p].astype(np.int64) @ (1 << np.arange(len(p), dtype=np.int64)) for p in at], 1)
+            ends = np.arange(n + 1, dtype=np.int32) * len(at)
+            yield pa.record_batch([batch["fp"], batch["bits"], pa.ListArray.from_arrays(ends, pa.array(key.ravel()))], ["fp", "bits", "keys"])
+
+    keyed = prints.select("fp", "bits").mapInArrow(keys, "fp long, bits binary, keys array<long>").select("fp", "bits", F.posexplode("keys").alias("table", "key"))
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        fp = cell["fp"].to_numpy()
+        bits = np.frombuffer(b"".join(cell["bits"]), "<u8").reshape(len(cell), -1)
+        first = (cell["own"] == cell["i"]).to_numpy()
+        if cell["i"].iloc[0] == cell["j"].iloc[0]:
+            a, b = forest(fp, None, radius, bits)
+        else:
+            a, b = forest(fp[first], fp[~first], radius, bits[first], bits[~first])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return components(_cells(keyed, PART // 2).applyInPandas(compare, "a long, b long").distinct()).toDF("fp", "component")
 
 
 def classes(prints: DataFrame, id_col: str, radius: int = 3) -> DataFrame:
     """prints (id, fp) with component_id, the smallest id of a document reachable by links."""
     least = durable(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    linked = groups(least.select("fp"), radius).toDF("f", "component")
+    return _named(prints, least, groups(least.select("fp"), radius))
+
+
+def wide_classes(prints: DataFrame, id_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """prints (id, fp, bits) with component_id, the smallest id of a document reachable by links."""
+    least = durable(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.first("bits").alias("bits")))
+    return _named(prints.drop("bits"), least.drop("bits"), wide_groups(least, similarity))
+
+
+def _named(prints: DataFrame, least: DataFrame, linked: DataFrame) -> DataFrame:
+    linked = linked.toDF("f", "component")
     named = least.join(linked, least["fp"] == linked["f"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = durable(named.join(names.withColumnRenamed("component", "c"), F.col("component") == F.col("c")).select(F.col("fp").alias("f"), "component_id"))
@@ -205,13 +332,15 @@ def contract(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     return classes(prints, "doc_id", radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:
-    """docs with one row of each class, that of the smallest doc_id; rows that repeat an id and text count as one.
+def deduplicated(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each class of near copies, that of the smallest doc_id; rows that repeat an id and text
+    count as one.
 
     Classes come from fingerprints alone. The rows that go are named by id, so texts are shuffled once, for the
     anti join; ids that repeat, if there are any, are the only rows grouped with their texts.
     """
-    of = durable(contract(docs, width, radius).select(F.col("doc_id").alias("_id"), "component_id"))
+    prints = durable(wide_fingerprints(docs.select("doc_id", "text"), "text", width))
+    of = durable(wide_classes(prints, "doc_id", similarity).select(F.col("doc_id").alias("_id"), "component_id"))
     gone = of.where(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     again = of.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
