@@ -26,7 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each class of near copies, by SimHash over five-word shingles."""
+    """Keeps the document of smallest doc_id of each class of near copies, by SimHash over five-word
+    shingles at a similarity of 0.8 or more."""
     return simhash.deduplicated(docs.select(*COLUMNS))
 
 
