@@ -11,7 +11,8 @@ In a cell the fingerprints lie as bit planes, 64 fingerprints to a word. Planes
 differences are counted in carry-save form (ones, twos, fours, ..., over), and a block of queries is abandoned as
 soon as every candidate is over the radius. A cell returns a spanning forest of its links, never its pairs.
 
-`deduplicated` looks for less similar copies: fingerprints of WORDS x 64 bits over five-word shingles, linked where
+`deduplicated` looks for less similar copies: fingerprints of WORDS x 64 bits over the set of
+five-word shingles, linked where
 SIMILARITY of the bits agree, which texts with a Jaccard similarity of 0.8 do and unrelated ones, at over nine
 standard deviations, don't. No choice of blocks is exact at such a radius, so its tables take their keys from random bits,
 as many tables as find a pair of Jaccard similarity 0.8 with probability RECALL; their number grows with n as a
@@ -60,19 +61,20 @@ def words_of(text: str):
 
 
 def _more(h: np.ndarray, words: int) -> list[np.ndarray]:
-    """h, and words - 1 further hashes mixed from it."""
+    """h, and words - 1 further hashes mixed from it (modulo 2^64)."""
     out = [h]
     for k in range(1, words):
-        z = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        z = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         out.append(z ^ (z >> np.uint64(31)))
     return out
 
 
-def wide_fingerprint(text: str, width: int, words: int = 1) -> np.ndarray:
-    """words x 64 bits, as uint64; the first word is `fingerprint`."""
+def wide_fingerprint(text: str, width: int, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """words x 64 bits, as uint64; the first word is `fingerprint`. distinct: each shingle counts once."""
     ones, total, tail = np.zeros((words, BITS), np.int64), 0, []
+    seen: list[np.ndarray] = []
     hash64 = xxhash.xxh64_intdigest
 
     def add(h: np.ndarray) -> None:
@@ -84,11 +86,18 @@ def wide_fingerprint(text: str, width: int, words: int = 1) -> np.ndarray:
         w = tail + part
         if len(w) >= width:
             h = np.array([hash64(b" ".join(s), 42) for s in zip(*(w[k:] for k in range(width)), strict=False)], "<u8")
-            add(h)
-            total += len(h)
+            if distinct:
+                seen.append(np.unique(h))
+            else:
+                add(h)
+                total += len(h)
             tail = w[len(w) - width + 1 :] if width > 1 else []
         else:
             tail = w
+    if seen:
+        h = np.unique(np.concatenate(seen))
+        add(h)
+        total = len(h)
     if not total and tail:
         add(np.array([hash64(b" ".join(tail), 42)], "<u8"))
         total = 1
@@ -261,7 +270,7 @@ def wide_fingerprints(df: DataFrame, text: str = "text", width: int = 5, words:
             for t in batch[text].to_pylist():
                 t = t or ""
                 if t not in seen:
-                    seen[t] = wide_fingerprint(t, width, words).astype("<u8").tobytes()
+                    seen[t] = wide_fingerprint(t, width, words, distinct=True).astype("<u8").tobytes()
                 out.append(seen[t])
             yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(out, pa.binary())], [*(f.name for f in rest), "bits"])
 
