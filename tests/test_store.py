@@ -144,7 +144,9 @@ def test_streams(spark, path, tmp_path):
     s.write(Transaction().remove("document:a", "viewer", "user:ann").add("document:a", "viewer", "user:cy").remove("document:a", "viewer", "user:bob").add("document:a", "viewer", "user:bob"))
     assert {(r["subject"], r["allowed"]) for r in watch.poll()} == {("user:ann", False), ("user:cy", True)} and watch.poll() == []
     assert feeds.lag(s.log(), follower.position()).first()["rows"] == 4
-    follower.wait_until_current()
+    assert {r["subject"] for r in follower.check(s.schema(), asked, at_least=s.token()).where("status = 'ALLOW'").collect()} == {"user:bob", "user:cy"}
+    with pytest.raises(StaleReadError):
+        follower.gate(Token(1, s.token().lsn + 1))
     assert {r["subject_id"] for r in follower.tuples().collect()} == {"bob", "cy"}
     seen = []
     feeds.feed(spark, s.folder.at("log"), lambda df, _: seen.extend(df.collect()), f"file://{tmp_path}/feed").awaitTermination()

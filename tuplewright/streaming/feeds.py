@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..model import LOG, TUPLE_COLUMNS
+from ..model import LOG, TUPLE_COLUMNS, StaleReadError, Token
 from ..operators import history, permissions
 from ..plans.schema_language import Schema
 from ..sources.files import Folder
@@ -73,6 +73,16 @@ class Follower:
     def follow(self, trigger: dict | None = None) -> StreamingQuery:
         return read(self.spark, self.log_path).writeStream.foreachBatch(self._apply).option("checkpointLocation", self.folder.at("progress")).trigger(**(trigger or {"availableNow": True})).start()
 
+    def gate(self, at_least: Token) -> None:
+        """Catches up once if the state is older than the token, and raises if it still is."""
+        if at_least.lsn > self.position() and at_least.lsn > self.wait_until_current():
+            raise StaleReadError(f"position {self.position()} is before {at_least.lsn}")
+
+    def check(self, schema: Schema, questions: DataFrame, at_least: Token | None = None) -> DataFrame:
+        if at_least is not None:
+            self.gate(at_least)
+        return permissions.check(self.tuples(), schema, questions)
+
     def wait_until_current(self) -> int:
         query = self.follow()
         query.awaitTermination()
