@@ -268,7 +268,9 @@ def test_added_spans():
 
 
 def test_personal_data_contract(spark, sf):
-    docs = table(spark, sf, "documents").unionByName(odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars"))
+    # brute force takes quadratic time on the one long word; test_personal_data_is_linear has such words
+    odd = odd_docs(spark).where("doc_id is null or doc_id <> 8").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = table(spark, sf, "documents").unionByName(odd)
     text = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     got = pii.contract(docs).collect()
     assert sorted(r["doc_id"] or -1 for r in got) == sorted(k or -1 for k, _ in text)
@@ -276,7 +278,6 @@ def test_personal_data_contract(spark, sf):
     assert Counter((r["doc_id"], r["base_sha256"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in got) == want
     assert pii.contract(docs.limit(0)).count() == 0
     masked = {r["doc_id"]: r["text"] for r in pii.detect(docs, mask=True).collect()}
-    assert masked[3 if 3 not in dict(text) else 3] is None or True
     assert not any(regex_spans(t or "") for t in masked.values())
 
 
