@@ -102,19 +102,28 @@ def walk(edges: DataFrame, starts: DataFrame, limit: int = LIMIT) -> tuple[DataF
 
 
 def _walk(e: DataFrame, starts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rounds of two steps: what the first found is walked on at once, what the second found waits for the next round."""
+
+    def step(rows: DataFrame) -> DataFrame:
+        on = rows.select(F.col("start").alias("s"), F.col("node").alias("n"), F.col("frames").alias("f")).join(e, F.col("n") == F.col("src"))
+        return on.groupBy("s", "dst").agg(F.min(F.col("f") + F.col("cost")).alias("frames")).toDF("start", "node", "frames")
+
     found = durable(starts.toDF("start").select("start", F.col("start").alias("node"), F.lit(1).alias("frames")))
     fresh, cut, rounds = found, None, 0
     while not fresh.isEmpty():
         rounds += 1
-        step = fresh.toDF("s", "n", "f").join(e, F.col("n") == F.col("src")).groupBy("s", "dst").agg(F.min(F.col("f") + F.col("cost")).alias("frames")).toDF("start", "node", "frames")
+        one = step(fresh)
+        both = one.withColumn("waits", F.lit(0)).unionByName(step(one.where(F.col("frames") <= limit)).withColumn("waits", F.lit(1)))
+        both = both.groupBy("start", "node").agg(F.min(F.struct("frames", "waits")).alias("x")).select("start", "node", "x.frames", "x.waits")
         no_better = (F.col("start") == F.col("os")) & (F.col("node") == F.col("on")) & (F.col("of") <= F.col("frames"))
-        better = durable(step.join(found.toDF("os", "on", "of"), no_better, "left_anti"))
-        if rounds >= limit:  # a round adds one frame at most
+        better = durable(both.join(found.toDF("os", "on", "of"), no_better, "left_anti"))
+        if 2 * rounds >= limit:  # a round adds two frames at most
             over = better.where(F.col("frames") > limit).select("start")
             cut = over if cut is None else cut.union(over)
-        fresh = better.where(F.col("frames") <= limit)
-        found = found.unionByName(fresh)
-        if rounds % 8 == 0:
+        within = better.where(F.col("frames") <= limit)
+        fresh = within.where("waits = 1").select("start", "node", "frames")
+        found = found.unionByName(within.select("start", "node", "frames"))
+        if rounds % 6 == 0:
             found = durable(found)
     best = durable(found.groupBy("start", "node").agg(F.min("frames").alias("frames")))
     return best, (cut if cut is not None else found.select("start").limit(0)).distinct()
