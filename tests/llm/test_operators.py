@@ -497,6 +497,47 @@ def test_near_copies_are_found_and_others_left(spark):
         assert len(kept - set(range(1500))) <= 0.02 * 300
 
 
+def test_exact_forest_against_sets():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 2**63, 80, dtype=np.uint64) for _ in range(6)]
+    sets = [np.unique(np.where(rng.random(80) < rng.choice([0, 0.05, 0.12, 0.2]), rng.integers(0, 2**63, 80, dtype=np.uint64), base[k % 6])) for k in range(90)]
+    sets += [sets[0][:0], sets[0][:0], sets[1][:40]]
+    n = len(sets)
+    near = np.array([[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for b in sets] for a in sets])
+
+    def reached(pairs):
+        label = list(range(n))
+        for _ in range(n):
+            for i, j in pairs:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    bits = np.zeros((n, 4), np.uint64)
+    want = [(i, j) for i in range(n) for j in range(i) if near[i, j]]
+    first = np.arange(n) % 3 == 0
+    for mask, pairs in ((None, want), (first, [(i, j) for i, j in want if first[i] != first[j]])):
+        a, b = simhash.exact_forest(bits, sets, mask, 0, 0.8)
+        assert reached(list(zip(a.tolist(), b.tolist(), strict=True))) == reached(pairs) and len(set(a.tolist())) == len(a)
+
+
+def test_only_links_of_the_similarity_count(spark):
+    word = [f"w{k}" for k in range(400)]
+    docs = [(1, word), (2, [*word[:390], *"abcdefghij"]), (3, [*word[:350], *(f"x{k}" for k in range(50))]), (4, word[:5]), (5, word[:5]), (6, word[:4]), (7, [])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    for size in (simhash.PART_BYTES, 3000):
+        old, simhash.PART_BYTES = simhash.PART_BYTES, size
+        try:
+            assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == [1, 3, 4, 6, 7]
+        finally:
+            simhash.PART_BYTES = old
+
+
+def test_long_text_shingles():
+    text = " ".join(f"Word{k % 9973}" for k in range(300_000))
+    w = text.lower().encode().split()
+    assert simhash.shingles(text, 5).tolist() == sorted({xxhash.xxh64_intdigest(b" ".join(w[k : k + 5]), 42) for k in range(len(w) - 4)})
+
+
 def test_long_text_fingerprint():
     text = " ".join(f"word{k % 977}" for k in range(300_000))
     assert simhash.fingerprint(text, 3) == plain_fingerprint(text, 3)

@@ -11,12 +11,12 @@ In a cell the fingerprints lie as bit planes, 64 fingerprints to a word. Planes
 differences are counted in carry-save form (ones, twos, fours, ..., over), and a block of queries is abandoned as
 soon as every candidate is over the radius. A cell returns a spanning forest of its links, never its pairs.
 
-`deduplicated` looks for less similar copies: fingerprints of WORDS x 64 bits over the set of
-five-word shingles, linked where
-SIMILARITY of the bits agree, which texts with a Jaccard similarity of 0.8 do and unrelated ones, at over nine
-standard deviations, don't. No choice of blocks is exact at such a radius, so its tables take their keys from random bits,
-as many tables as find a pair of Jaccard similarity 0.8 with probability RECALL; their number grows with n as a
-power under a quarter.
+`deduplicated` looks for less similar copies: texts whose sets of five-word shingles have a Jaccard similarity of
+SIMILARITY or more. Candidates come from fingerprints of WORDS x 64 bits over those sets: pairs in which CLOSE of the
+bits agree, which texts of that similarity do but for three standard deviations. No choice of blocks is exact at such
+a radius, so its tables take their keys from random bits, as many tables as find a pair of Jaccard similarity 0.8 with
+probability RECALL; their number grows with n as a power under a quarter. An exact check follows within each class
+of candidates: one shingle set for each fingerprint, large classes in cells of two parts of about PART_BYTES each.
 
 Cases: null text is empty text; a document without words has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle of all words; repeated rows have equal fingerprints; null ids don't become a
@@ -38,11 +38,14 @@ from ._common import components, durable, merge_labels
 BUCKET = 4096
 PART = 8192
 BITS = 64
-#: Of `deduplicated`: words of a fingerprint, share of equal bits, chance that a pair meets in a table, bucket size.
+#: Of `deduplicated`: words of a fingerprint, Jaccard similarity of a link, share of equal bits of a candidate, chance
+#: that a pair meets in a table, bucket size, bytes of shingle sets in a part of a cell.
 WORDS = 4
 SIMILARITY = 0.8
+CLOSE = 0.78
 RECALL = 0.99
 WIDE_BUCKET = 1024
+PART_BYTES = 32 << 20
 #: Share of equal bits of two texts with Jaccard similarity 0.8: 1 - acos(2 J / (1 + J)) / pi.
 AGREE = 0.849
 
@@ -60,6 +63,17 @@ def words_of(text: str):
     yield data[start:].lower().split()
 
 
+def shingles(text: str, width: int) -> np.ndarray:
+    """The sorted hashes of the text's different shingles."""
+    found, tail = [], []
+    for part in words_of(text):
+        w = tail + part
+        found.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(*(w[k:] for k in range(width)), strict=False)), "<u8")))
+        tail = w[max(0, len(w) - width + 1) :]
+    found = np.unique(np.concatenate(found))
+    return found if len(found) or not tail else np.array([xxhash.xxh64_intdigest(b" ".join(tail), 42)], "<u8")
+
+
 def _more(h: np.ndarray, words: int) -> list[np.ndarray]:
     """h, and words - 1 further hashes mixed from it (modulo 2^64)."""
     out = [h]
@@ -207,6 +221,42 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, a_bits: np.ndarray
     return nodes[child], nodes[label[child]]
 
 
+def exact_forest(bits: np.ndarray, sets: list[np.ndarray], first: np.ndarray | None, radius: int, similarity: float, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as positions (node, smaller node), of the pairs at most radius bits apart whose sets have that
+    Jaccard similarity; between the first and the others, or among all if first is None.
+
+    Pairs that the forest already joins are not looked at, so a class of true copies costs little more than its bits.
+    """
+    label = np.arange(len(sets))
+    members, queries = (label, label) if first is None else (np.flatnonzero(first), np.flatnonzero(~first))
+    sizes = np.array([len(x) for x in sets], np.int64)
+    if not len(members) or not len(queries):
+        return label[:0], label[:0]
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, mark = np.append(0, np.cumsum(sizes)), np.zeros(len(kinds), bool)
+    label, planes = label.copy(), Planes(bits[members])
+    for at in range(0, len(queries), step):
+        q, m = planes.within(bits[queries[at : at + step]], radius)
+        for g in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
+            if not len(g):
+                continue
+            me = queries[at + q[g[0]]]
+            others = members[m[g]]
+            low, high = np.minimum(sizes[others], sizes[me]), np.maximum(sizes[others], sizes[me])
+            others = others[low >= similarity * high]
+            own = flat[starts[me] : starts[me + 1]]
+            mark[own] = True
+            while len(others := others[label[others] != label[me]]):
+                some, others = others[:64], others[64:]
+                common = np.array([np.count_nonzero(mark[flat[starts[x] : starts[x + 1]]]) for x in some])
+                near = some[common >= similarity * (sizes[some] + sizes[me] - common) - 1e-9]
+                if len(near):
+                    merge_labels(label, np.append(near, me))
+            mark[own] = False
+    child = np.flatnonzero(label != np.arange(len(sets)))
+    return child, label[child]
+
+
 def tables(n: int, radius: int) -> list[list[tuple[int, int]]]:
     """For n fingerprints: each table's key as (first bit, bits) pieces."""
     need = max(0, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
@@ -248,9 +298,10 @@ def groups(fps: DataFrame, radius: int = 3) -> DataFrame:
     return components(_cells(keyed, PART).applyInPandas(compare, "a long, b long").distinct()).toDF("fp", "component")
 
 
-def _cells(keyed: DataFrame, part: int):
-    """keyed (table, key, fp, ...) grouped into cells: a bucket of over part rows is cut, and each two of its cuts meet."""
-    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > part)
+def _cells(keyed: DataFrame, part: int, weight=None):
+    """keyed (table, key, fp, ...) grouped into cells: a bucket of over part rows (or of that weight) is cut, and each two
+    of its cuts meet."""
+    sizes = keyed.groupBy("table", "key").agg((F.count("*") if weight is None else F.sum(weight)).alias("n")).where(F.col("n") > part)
     sizes = sizes.select(F.col("table").alias("t"), F.col("key").alias("k"), F.ceil(F.col("n") / F.lit(max(1, part * 3 // 4))).cast("int").alias("s"))
     dealt = keyed.join(sizes, (F.col("table") == F.col("t")) & (F.col("key") == F.col("k")), "left").withColumn("s", F.coalesce("s", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("s")).cast("int"))
@@ -288,10 +339,10 @@ def samples(n: int, bits: int, agree: float = AGREE, recall: float = RECALL, see
     return np.stack([rng.choice(bits, size, replace=False) for _ in range(number)])
 
 
-def wide_groups(prints: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """(fp, component) of distinct (fp, bits) that have a link to another."""
+def wide_groups(prints: DataFrame, close: float = CLOSE, words: int = WORDS) -> DataFrame:
+    """(fp, component) of distinct (fp, bits) that are joined by candidate pairs."""
     at = samples(prints.count(), BITS * words)
-    radius = int((1 - similarity) * BITS * words)
+    radius = int((1 - close) * BITS * words)
 
     def keys(batches):
         for batch in batches:
@@ -316,16 +367,50 @@ def wide_groups(prints: DataFrame, similarity: float = SIMILARITY, words: int =
     return components(_cells(keyed, PART // 2).applyInPandas(compare, "a long, b long").distinct()).toDF("fp", "component")
 
 
+def verified(members: DataFrame, width: int, similarity: float, close: float = CLOSE, words: int = WORDS) -> DataFrame:
+    """(fp, component) of the members (fp, bits, class, text; one of each fp) that are joined by links of that similarity."""
+    radius = int((1 - close) * BITS * words)
+
+    def hashed(batches):
+        for batch in batches:
+            sets = [shingles(t or "", width).astype("<u8").tobytes() for t in batch["text"].to_pylist()]
+            yield pa.record_batch([batch["fp"], batch["bits"], batch["class"], pa.array(sets, pa.binary())], ["fp", "bits", "key", "hashes"])
+
+    keyed = durable(members.select("fp", "bits", "class", "text").mapInArrow(hashed, "fp long, bits binary, key long, hashes binary").withColumn("table", F.lit(0)))
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        fp = cell["fp"].to_numpy()
+        bits = np.frombuffer(b"".join(cell["bits"]), "<u8").reshape(len(cell), -1)
+        sets = [np.frombuffer(x, "<u8") for x in cell["hashes"]]
+        within = cell["i"].iloc[0] == cell["j"].iloc[0]
+        a, b = exact_forest(bits, sets, None if within else (cell["own"] == cell["i"]).to_numpy(), radius, similarity)
+        return pd.DataFrame({"a": fp[a], "b": fp[b]})
+
+    return components(_cells(keyed, PART_BYTES, F.length("hashes") + 1024).applyInPandas(compare, "a long, b long").distinct()).toDF("fp", "component")
+
+
 def classes(prints: DataFrame, id_col: str, radius: int = 3) -> DataFrame:
     """prints (id, fp) with component_id, the smallest id of a document reachable by links."""
     least = durable(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     return _named(prints, least, groups(least.select("fp"), radius))
 
 
-def wide_classes(prints: DataFrame, id_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """prints (id, fp, bits) with component_id, the smallest id of a document reachable by links."""
-    least = durable(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.first("bits").alias("bits")))
-    return _named(prints.drop("bits"), least.drop("bits"), wide_groups(least, similarity))
+def wide_classes(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, fp, component_id) of docs (doc_id, text): the smallest doc_id reachable by links of that similarity.
+
+    Texts are read again only for the first document of each fingerprint in a class of candidates, found by id and
+    text hash, so that copies and repeated ids bring one row.
+    """
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = durable(wide_fingerprints(docs.select("doc_id", "text", own.alias("text_hash")), "text", width))
+    least = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("bits").alias("bits")))
+    near = wide_groups(least.select("fp", "bits")).toDF("f", "class")
+    near = near.union(near.select("class", "class")).distinct()  # a class's own name isn't among its nodes
+    wanted = least.join(near, F.col("fp") == F.col("f")).select("fp", "bits", "class", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
+    texts = docs.select("doc_id", "text", own.alias("text_hash"))
+    members = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    members = members.dropDuplicates(["fp"])
+    return _named(prints.drop("bits", "text_hash"), least.select("fp", "least"), verified(members, width, similarity))
 
 
 def _named(prints: DataFrame, least: DataFrame, linked: DataFrame) -> DataFrame:
@@ -345,11 +430,9 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY
     """docs with one row of each class of near copies, that of the smallest doc_id; rows that repeat an id and text
     count as one.
 
-    Classes come from fingerprints alone. The rows that go are named by id, so texts are shuffled once, for the
-    anti join; ids that repeat, if there are any, are the only rows grouped with their texts.
+    The rows that go are named by id; ids that repeat, if there are any, are the only rows grouped with their texts.
     """
-    prints = durable(wide_fingerprints(docs.select("doc_id", "text"), "text", width))
-    of = durable(wide_classes(prints, "doc_id", similarity).select(F.col("doc_id").alias("_id"), "component_id"))
+    of = durable(wide_classes(docs.select("doc_id", "text"), width, similarity).select(F.col("doc_id").alias("_id"), "component_id"))
     gone = of.where(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     again = of.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
