@@ -532,6 +532,14 @@ def test_only_links_of_the_similarity_count(spark):
             simhash.PART_BYTES = old
 
 
+def test_rows_without_an_id_go_by_their_text(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(50)) for c in "xyz")
+    rows = [(None, x, "a"), (5, x, "b"), (None, y, "c"), (9, z, "d"), (9, x, "e"), (None, y, "c"), (11, None, "f"), (12, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    got = sorted(r["_id"] for r in simhash.deduplicated(docs).collect())
+    assert got == ["b", "c", "d", "f"]
+
+
 def test_long_text_shingles():
     text = " ".join(f"Word{k % 9973}" for k in range(300_000))
     w = text.lower().encode().split()

@@ -396,7 +396,7 @@ def classes(prints: DataFrame, id_col: str, radius: int = 3) -> DataFrame:
 
 
 def wide_classes(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, fp, component_id) of docs (doc_id, text): the smallest doc_id reachable by links of that similarity.
+    """(doc_id, text_hash, fp, component_id) of docs (doc_id, text): the smallest doc_id reachable by links of that similarity.
 
     Texts are read again only for the first document of each fingerprint in a class of candidates, found by id and
     text hash, so that copies and repeated ids bring one row.
@@ -410,7 +410,7 @@ def wide_classes(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY
     texts = docs.select("doc_id", "text", own.alias("text_hash"))
     members = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     members = members.dropDuplicates(["fp"])
-    return _named(prints.drop("bits", "text_hash"), least.select("fp", "least"), verified(members, width, similarity))
+    return _named(prints.drop("bits"), least.select("fp", "least"), verified(members, width, similarity))
 
 
 def _named(prints: DataFrame, least: DataFrame, linked: DataFrame) -> DataFrame:
@@ -430,13 +430,19 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY
     """docs with one row of each class of near copies, that of the smallest doc_id; rows that repeat an id and text
     count as one.
 
-    The rows that go are named by id; ids that repeat, if there are any, are the only rows grouped with their texts.
+    The rows that go are named by id and text hash, so rows that share an id, or have none, go or stay by their own
+    text. A class without any id keeps all its texts, as does an id whose own texts are near copies; rows that repeat
+    both, if there are any, are the only ones grouped with their texts.
     """
-    of = durable(wide_classes(docs.select("doc_id", "text"), width, similarity).select(F.col("doc_id").alias("_id"), "component_id"))
-    gone = of.where(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = of.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    of = durable(wide_classes(docs.select("doc_id", "text"), width, similarity).select("doc_id", "text_hash", "component_id"))
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+    def those(rows: DataFrame, kind: str, some: DataFrame) -> DataFrame:
+        return rows.join(some, docs["doc_id"].eqNullSafe(some["_id"]) & (own == some["_hash"]), kind)
+
+    gone = of.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    out = those(docs, "left_anti", gone)
+    again = of.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id", "_hash")
     if again.isEmpty():
         return out
-    once = out.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(once)
+    return those(out, "left_anti", again).unionByName(those(out, "left_semi", again).dropDuplicates(["doc_id", "text"]))
