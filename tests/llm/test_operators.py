@@ -378,6 +378,17 @@ def test_vector_links_over_lists_and_cells(spark, monkeypatch):
     assert all(got[a]["component_id"] == got[b]["component_id"] for a, b in zip(*np.nonzero(s), strict=True))
 
 
+def test_vector_links_of_few_intrinsic_dimensions(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 4)) @ np.linalg.qr(rng.standard_normal((64, 4)))[0].T
+    got = {r["vec_id"]: r["n_links"] for r in neardup_embedding.contract(vectors(spark, x)).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    n = (s >= 0.95).sum(1) - 1
+    unsure = (abs(s - 0.95) < 1e-12).any(1)
+    assert n.sum() > 100_000 and all(got[k] == n[k] for k in np.flatnonzero(~unsure))
+
+
 def test_components(spark):
     rnd = random.Random(5)
     pairs = [(k, k + 1) for k in range(40)] + [(rnd.randint(100, 160), rnd.randint(100, 160)) for _ in range(30)] + [(200, k) for k in range(201, 240)] + [(7, 7), (None, 3)]

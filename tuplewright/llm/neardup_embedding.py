@@ -8,9 +8,8 @@ whatever the data. In a list, visitors estimate their distance to each member fr
 over the member's code; by the triangle inequality a partner's estimate is at most r + e, so no partner within a
 visited list is missed, and pairs that pass are compared by exact cosine in double precision.
 
-margin "exact" takes r / 2, which is complete for any data. margin None takes 2.5 r / sqrt(d) if that is less: the
-displacement of partners across a plane, when its direction is random, has a standard deviation of r / sqrt(d) at
-most, and a pair is lost only where it is over five of them.
+margin None, or "exact", takes r / 2. A smaller number visits fewer lists and loses the pairs that both lie further
+than that from their plane.
 
 Plan: home lists with many members, or visitors, are dealt over cells (list, member part, visitor part) of at
 most MEMBERS x VISITORS rows, from counts per list. A cell returns how many links each row has in it and a
@@ -116,7 +115,7 @@ def link(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector: str
 def _links(rows: DataFrame, d: int, least: float, margin) -> tuple[DataFrame, DataFrame] | None:
     spark = rows.sparkSession
     r = float(np.sqrt(max(2 - 2 * least, 0))) + 1e-6
-    margin = r / 2 if margin == "exact" else min(r / 2, 2.5 * r / np.sqrt(d)) if margin is None else float(margin)
+    margin = r / 2 if margin in (None, "exact") else float(margin)
     total = rows.count()
     sample = _sample(rows, d, total)
     if not len(sample):
