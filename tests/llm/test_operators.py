@@ -136,6 +136,20 @@ def test_search_in_blocks_is_the_same(spark, sf):
     assert whole.exceptAll(cut).count() == 0 and whole.count() == cut.count() == 50
 
 
+def test_search_with_heavily_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(256)
+    x = [base, *rng.standard_normal((900, 256))]
+    again = [(ident, [float(c) for c in base + rng.standard_normal(256) * 0.01]) for ident in (0, 2000) for _ in range(300)]
+    df = vectors(spark, x, again).coalesce(1)
+    got = [r["vec_id"] for r in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    u = np.stack([v / np.linalg.norm(v) for v in [*x, *(np.array(v) for _, v in again)]])
+    ids = np.array([*range(len(x)), *(k for k, _ in again)])
+    s = (u[ids == 0] @ u.T).max(0)
+    best = {k: s[ids == k].max() for k in set(ids.tolist()) - {0}}
+    assert got == sorted(best, key=lambda k: (-best[k], k))[:5]
+
+
 def test_bounds_hold_for_almost_all():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((2000, 64))

@@ -4,8 +4,8 @@ Unit vectors are rotated by one random orthogonal matrix and each coordinate is
 and one correction scalar per row. With o the vector, b = sign(R o) / sqrt(d) its code and q a query,
 <b, R q> / <b, R o> is an unbiased estimate of <o, q> whose error is below
 EPSILON * sqrt((1 - c^2) / c^2) / sqrt(d - 1), c = <b, R o>, but for a small probability that EPSILON sets
-(Gao and Long, 2024). Per block, vectors whose upper bound reaches the k-th best value known so far are reranked
-by their exact cosine in double precision.
+(Gao and Long, 2024). Per block, vectors whose upper bound reaches the k-th best value known so far, over different
+ids, are reranked by their exact cosine in double precision.
 
 Queries are a stated set. They are taken in blocks of at most QUERY_BYTES, each block broadcast and compared with
 all rows where they lie: rows are never shuffled, only k results per query and task are.
@@ -70,12 +70,17 @@ class Searcher:
         codes, c = encode(x, self.turn)
         signs = (np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
         bound = (self.epsilon * np.sqrt(np.maximum(1 - c * c, 0)) / c / np.sqrt(max(d - 1, 1)) + 1e-6).astype(np.float32)
+        by_id = np.argsort(ids, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(ids[by_id]) != 0))
         for at in range(0, len(self.ids), step):
             block = slice(at, at + step)
             guess = (self.turned[block] @ signs.T) / c.astype(np.float32)
             floor = self.least[block].astype(np.float32) - np.float32(1e-6)
-            if guess.shape[1] > self.k:  # the k-th largest lower bound; one place more for the query's own row
-                floor = np.maximum(floor, -np.partition(bound - guess, self.k, axis=1)[:, self.k])
+            if len(starts) > self.k:  # the k-th largest lower bound of an id; one place more for the query's own id
+                under = bound - guess
+                if len(starts) < len(ids):
+                    under = np.minimum.reduceat(under[:, by_id], starts, axis=1)
+                floor = np.maximum(floor, -np.partition(under, self.k, axis=1)[:, self.k])
             q, r = np.nonzero(guess + bound >= floor[:, None])
             other = self.ids[at + q] != ids[r]
             q, r = q[other] + at, r[other]
