@@ -557,6 +557,33 @@ def test_only_links_of_the_similarity_count(spark):
             simhash.PART_BYTES = old
 
 
+def test_near_copies_that_fingerprints_miss(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = [word() for _ in range(6)]
+    texts = [[word() for _ in range(8)] for _ in range(200)] + [[word() for _ in range(48)] + line for _ in range(100)]
+    docs = texts + [[*w, word()] if len(w) == 8 else [word(), *w[1:]] for w in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in docs]
+    near = [[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets]
+    assert all(sum(x) == 2 and x[k] and x[(k + 300) % 600] for k, x in enumerate(near))
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(df).collect()) == list(range(300))
+
+
+def test_prefixes_and_parities_lose_nothing():
+    rng = np.random.default_rng(12)
+    for n in (1, 4, 5, 9, 60, 1500, 3000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            some = rng.random(len(a)) < rng.choice([0.8, 0.9, 1])
+            b = np.unique(np.append(a[some], rng.integers(0, 2**64, rng.integers(0, n // 9 + 2), dtype=np.uint64)))
+            both, every = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            assert simhash.differing(simhash.parities(a), simhash.parities(b)) <= every - both
+            common = np.sort(rng.choice(a, len(a) // 2, replace=False))
+            if 5 * both >= 4 * every:
+                assert len(np.intersect1d(*(simhash.prefix(x, 0.8, (common, np.arange(len(common)) % 7 + 2)) for x in (a, b))))
+
+
 def test_rows_without_an_id_go_by_their_text(spark):
     x, y, z = (" ".join(f"{c}{k}" for k in range(50)) for c in "xyz")
     rows = [(None, x, "a"), (5, x, "b"), (None, y, "c"), (9, z, "d"), (9, x, "e"), (None, y, "c"), (11, None, "f"), (12, "", "g")]

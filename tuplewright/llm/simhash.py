@@ -18,6 +18,12 @@ a radius, so its tables take their keys from random bits, as many tables as find
 probability RECALL; their number grows with n as a power under a quarter. An exact check follows within each class
 of candidates: one shingle set for each fingerprint, large classes in cells of two parts of about PART_BYTES each.
 
+What that misses is found by an exact route over the different shingle sets (`rest`): in any one order of all shingles,
+two sets of that similarity share a shingle among the first n - ceil(SIMILARITY n) + 1 of each. The order puts shingles
+that are common in a sample last, so that few sets share one; the sample decides about the cost, never the links. Pairs
+that meet in such a shingle and aren't joined yet are dropped where their sizes, the shingle's places or the parities of
+their shingles by residue rule the similarity out, and the others are compared set by set.
+
 Cases: null text is empty text; a document without words has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle of all words; repeated rows have equal fingerprints; null ids don't become a
 component's name unless nothing else is in it; an empty table gives an empty result.
@@ -29,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +52,12 @@ CLOSE = 0.78
 RECALL = 0.99
 WIDE_BUCKET = 1024
 PART_BYTES = 32 << 20
+#: Of the exact route: bits of a set's parities at least, sampled documents (at least; and a share of all), common shingles
+#: that are told apart at most.
+PARITY = 1024
+SAMPLED = 8192
+SAMPLED_SHARE = 1 / 32
+COMMON = 1 << 17
 #: Share of equal bits of two texts with Jaccard similarity 0.8: 1 - acos(2 J / (1 + J)) / pi.
 AGREE = 0.849
 
@@ -118,6 +130,15 @@ def wide_fingerprint(text: str, width: int, words: int = 1, distinct: bool = Fal
     return np.packbits((2 * ones > total).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def _bits(h: np.ndarray, words: int) -> np.ndarray:
+    """`wide_fingerprint` of the different shingles h."""
+    ones = np.zeros((words, BITS), np.int64)
+    for k in range(0, len(h), 1 << 16):
+        for j, more in enumerate(_more(h[k : k + (1 << 16)], words)):
+            ones[j] += np.unpackbits(more.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits((2 * ones > len(h)).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def fingerprint(text: str, width: int) -> int:
     return int(wide_fingerprint(text, width)[0])
 
@@ -310,23 +331,76 @@ def _cells(keyed: DataFrame, part: int, weight=None):
     return dealt.groupBy("table", "key", "i", "j")
 
 
-def wide_fingerprints(df: DataFrame, text: str = "text", width: int = 5, words: int = WORDS) -> DataFrame:
-    """df without its text, with bits (words x 8 bytes) and fp, a long hash of them."""
-    rest = [f for f in df.schema.fields if f.name not in (text, "fp", "bits")]
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most COMMON shingles that several documents of a sample of docs (text, text_hash) share, sorted, and how many do."""
+    share = max(SAMPLED_SHARE, SAMPLED / max(docs.count(), 1))
+    some = docs.where(F.pmod(F.xxhash64(F.lit("common"), "text_hash"), F.lit(1 << 20)) <= int(share * (1 << 20)))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for k in range(0, len(texts), 256):
+                h, n = np.unique(np.concatenate([shingles(t or "", width) for t in texts[k : k + 256]]), return_counts=True)
+                yield pa.record_batch([pa.array(h.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    found = some.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    got = found.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = (np.asarray(got[c].combine_chunks()).astype(np.int64) for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
+
+
+def prefix(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of the set h, in the order of all shingles: any set of that similarity has one of them among its own."""
+    names, counts = common
+    if not len(h):
+        return h
+    n = np.zeros(len(h), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+        n = np.where(names[at] == h, counts[at], 0)
+    return h[np.lexsort((h, n))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+
+
+def parities(h: np.ndarray, bits: int = 0) -> bytes:
+    """For each residue modulo bits (a power of two, by the size of h), whether an odd number of shingles has it: sets differ
+    in as many shingles as parities, or more."""
+    bits = bits or max(PARITY, 1 << len(h).bit_length())
+    return np.packbits((np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """How many parities of two sets differ, modulo the fewer bits of the two."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) != len(b):
+        a, b = (np.bitwise_xor.reduce(v.reshape(-1, min(len(a), len(b))), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def set_prints(docs: DataFrame, width: int, similarity: float, words: int = WORDS) -> DataFrame:
+    """docs (doc_id, text, text_hash) without text, with what is known of their shingle sets: bits, fp, node (a name of
+    the set), n (its size), first (`prefix`), short and parity (`parities` of PARITY bits, and of more for a large set)."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))  # COMMON shingles at most
+    rest = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches):
+        common = shared.value
         for batch in batches:
-            seen: dict[str, bytes] = {}
+            seen: dict[str, tuple] = {}
             out = []
-            for t in batch[text].to_pylist():
+            for t in batch["text"].to_pylist():
                 t = t or ""
                 if t not in seen:
-                    seen[t] = wide_fingerprint(t, width, words, distinct=True).astype("<u8").tobytes()
+                    h = shingles(t, width).astype(np.uint64)
+                    name = xxhash.xxh64_intdigest(h.astype("<u8").tobytes())
+                    seen[t] = (_bits(h, words).astype("<u8").tobytes(), name - (1 << 64) if name >> 63 else name, len(h), prefix(h, similarity, common).view(np.int64), parities(h, PARITY), parities(h))
                 out.append(seen[t])
-            yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(out, pa.binary())], [*(f.name for f in rest), "bits"])
+            bits, node, n, first, short, parity = zip(*out, strict=True) if out else ((),) * 6
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+            yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(bits, pa.binary()), pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists, pa.array(short, pa.binary()), pa.array(parity, pa.binary())], [*(f.name for f in rest), "bits", "node", "n", "first", "short", "parity"])
 
-    found = df.mapInArrow(run, T.StructType([*rest, T.StructField("bits", T.BinaryType())]))
-    return found.withColumn("fp", F.xxhash64("bits"))
+    more = T.StructType.fromDDL("bits binary, node long, n int, first array<long>, short binary, parity binary").fields
+    return docs.mapInArrow(run, T.StructType([*rest, *more])).withColumn("fp", F.xxhash64("bits"))
 
 
 def samples(n: int, bits: int, agree: float = AGREE, recall: float = RECALL, seed: int = 1) -> np.ndarray:
@@ -389,6 +463,55 @@ def verified(members: DataFrame, width: int, similarity: float, close: float = C
     return components(_cells(keyed, PART_BYTES, F.length("hashes") + 1024).applyInPandas(compare, "a long, b long").distinct()).toDF("fp", "component")
 
 
+def rest(prints: DataFrame, docs: DataFrame, linked: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b), fingerprints: the links of that similarity between sets of prints that linked (fp, component) doesn't join."""
+    linked = linked.toDF("f", "component")
+    nodes = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "first", "short", "parity")), F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    nodes = durable(nodes.join(linked, F.col("fp") == F.col("f"), "left").withColumn("class", F.coalesce("component", "node")).drop("f", "component"))
+    spread = nodes.select("node", "n", "class", F.posexplode("first").alias("at", "shingle"))
+    own = Window.partitionBy("shingle")
+    spread = spread.withColumn("low", F.min("class").over(own)).withColumn("high", F.max("class").over(own)).where("low < high").drop("low", "high")
+    spread = durable(spread)
+    a, b = (spread.toDF(*(f"{c}_{k}" for c in ("node", "n", "class", "at", "shingle"))) for k in "ab")
+    least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6  # shingles in common
+    meet = (F.col("shingle_a") == F.col("shingle_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
+    pairs = a.join(b, meet & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)).select("node_a", "node_b").distinct()
+
+    def possible(batches):
+        for batch in batches:
+            most = (1 - similarity) / (1 + similarity) * (np.asarray(batch["n_a"]).astype(float) + np.asarray(batch["n_b"])) + 1e-6
+            apart = np.array([differing(x, y) for x, y in zip(batch["p_a"].to_pylist(), batch["p_b"].to_pylist(), strict=True)])
+            yield batch.select(["node_a", "node_b"]).filter(pa.array(apart <= most, pa.bool_()))
+
+    for parity in ("short", "parity"):
+        for k in "ab":
+            pairs = pairs.join(nodes.select(F.col("node").alias(f"node_{k}"), F.col("n").alias(f"n_{k}"), F.col(parity).alias(f"p_{k}")), f"node_{k}")
+        pairs = durable(pairs.mapInArrow(possible, "node_a long, node_b long"))
+    wanted = pairs.select(F.col("node_a").alias("w")).union(pairs.select("node_b")).distinct()
+    wanted = nodes.join(wanted, F.col("node") == F.col("w")).select("node", "fp", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
+    members = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).dropDuplicates(["node"])
+
+    def hashed(batches):
+        for batch in batches:
+            sets = [shingles(t or "", width).astype("<u8").tobytes() for t in batch["text"].to_pylist()]
+            yield pa.record_batch([batch["node"], batch["fp"], pa.array(sets, pa.binary())], ["node", "fp", "hashes"])
+
+    sets = durable(members.select("node", "fp", "text").mapInArrow(hashed, "node long, fp long, hashes binary"))
+    for k in "ab":
+        pairs = pairs.join(sets.toDF(f"node_{k}", f"fp_{k}", f"hashes_{k}"), f"node_{k}")
+
+    def compare(batches):
+        for batch in batches:
+            near = []
+            for x, y in zip(batch["hashes_a"], batch["hashes_b"], strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.record_batch([batch["fp_a"], batch["fp_b"]], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return durable(pairs.mapInArrow(compare, "a long, b long").distinct())
+
+
 def classes(prints: DataFrame, id_col: str, radius: int = 3) -> DataFrame:
     """prints (id, fp) with component_id, the smallest id of a document reachable by links."""
     least = durable(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
@@ -402,15 +525,18 @@ def wide_classes(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY
     text hash, so that copies and repeated ids bring one row.
     """
     own = F.xxhash64(F.coalesce("text", F.lit("")))
-    prints = durable(wide_fingerprints(docs.select("doc_id", "text", own.alias("text_hash")), "text", width))
+    texts = docs.select("doc_id", "text", own.alias("text_hash"))
+    prints = durable(set_prints(texts, width, similarity))
     least = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("bits").alias("bits")))
     near = wide_groups(least.select("fp", "bits")).toDF("f", "class")
     near = near.union(near.select("class", "class")).distinct()  # a class's own name isn't among its nodes
     wanted = least.join(near, F.col("fp") == F.col("f")).select("fp", "bits", "class", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
-    texts = docs.select("doc_id", "text", own.alias("text_hash"))
     members = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    members = members.dropDuplicates(["fp"])
-    return _named(prints.drop("bits"), least.select("fp", "least"), verified(members, width, similarity))
+    linked = verified(members.dropDuplicates(["fp"]), width, similarity)
+    more = rest(prints, texts, linked, width, similarity)
+    if not more.isEmpty():
+        linked = components(linked.toDF("a", "b").union(more)).toDF("fp", "component")
+    return _named(prints.select("doc_id", "text_hash", "fp"), least.select("fp", "least"), linked)
 
 
 def _named(prints: DataFrame, least: DataFrame, linked: DataFrame) -> DataFrame:
