@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences, each with its token ids' checksum."""
-    return packing.pack(docs.select(*COLUMNS), keep_ids=False)
+    """The pieces of packed sequences, each with its token ids and their checksum."""
+    return packing.pack(docs.select(*COLUMNS))
 
 
 STAGES = [

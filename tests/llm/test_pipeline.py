@@ -82,6 +82,13 @@ def test_packed(spark, sf, stages):
     assert P.run(spark, sf).select("doc_id").distinct().count() > 0
 
 
+def test_packed_ids(stages):
+    encode = packing.Encoder()
+    want = {r["doc_id"]: [*encode(r["text"]).tolist(), packing.END] for r in stages[4].collect()}
+    rows = stages[5].collect()
+    assert rows and all(r["ids"] == want[r["doc_id"]][r["start"] : r["start"] + r["length"]] for r in rows)
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
