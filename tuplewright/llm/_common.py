@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint_folder, durable
 
-__all__ = ["SEGMENT", "WORD", "checkpoint_folder", "components", "dimension", "durable", "matrix", "merge_labels", "runs", "segments", "table", "unit"]
+__all__ = ["SEGMENT", "WORD", "checkpoint_folder", "components", "dimension", "durable", "matrix", "merge_labels", "runs", "segments", "small", "table", "unit"]
 
 #: White space and words of the contracts on words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,35 +83,50 @@ def merge_labels(labels: np.ndarray, members: np.ndarray) -> None:
         labels[np.isin(labels, found)] = found[0]
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df (a checkpoint of a few narrow columns), marked for broadcast if it has at most so many rows; else as it is, so
+    that its join is a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Edges in a partition of `components`.
+EDGES = 250_000
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, component) of an undirected edge table (a, b), component the smallest node reachable.
 
-    Large-star and small-star rounds (Kiveris et al., 2014): each round is two aggregations with map-side
-    minimum and two joins on the edge table, never a collected neighbour list; the number of rounds is
-    logarithmic in the longest path. Each round ends in a reliable checkpoint. Nodes without an edge to another
-    node are absent. Null ends are dropped.
+    Large-star and small-star rounds (Kiveris et al., 2014): each is an aggregation with map-side minimum and a join on
+    the edge table, never a collected neighbour list; the number of rounds is logarithmic in the longest path. Each
+    step ends in a reliable checkpoint of partitions of about EDGES rows. Both sides of a join are plain shuffles, so a
+    hub's rows can be split by the adaptive skew join. Rounds end when every node has one edge, to a node
+    without one. Nodes without an edge to another node are absent. Null ends are dropped.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        near = e.select("a", "b")
+        near = e
         if large:
-            near = near.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).toDF("k", "m")
+            near = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = durable(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).toDF("k", "m").coalesce(parts))
         joined = near.join(least, near["a"] == least["k"])
         if large:
             out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.toDF("a", "b"))
-        return out.where(F.col("a") != F.col("b")).distinct()
-
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e, before = durable(e), None
-    if e.isEmpty():
-        return e.toDF("node", "component")
+        return durable(out.where(F.col("a") != F.col("b")).coalesce(parts))
+
+    def settled(e: DataFrame) -> bool:
+        ends = e.select(F.col("a").alias("x"), F.lit(1).alias("own"), F.lit(0).alias("other"))
+        ends = ends.union(e.select("b", F.lit(0), F.lit(1))).groupBy("x").agg(F.sum("own").alias("own"), F.max("other").alias("other"))
+        return ends.where("own > 1 or own = 1 and other = 1").isEmpty()
+
+    e = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    n = e.count()
+    parts = max(8, -(-n // EDGES))
+    if n and e.rdd.getNumPartitions() > parts:
+        e = durable(e.coalesce(parts))
     for _ in range(rounds):
-        e = durable(star(star(e, True), False))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if not n or settled(e):
             return e.toDF("node", "component")
-        before = now
+        e = star(star(e, True), False)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -16,13 +16,15 @@ SIMILARITY or more. Candidates come from fingerprints of WORDS x 64 bits over th
 bits agree, which texts of that similarity do but for three standard deviations. No choice of blocks is exact at such
 a radius, so its tables take their keys from random bits, as many tables as find a pair of Jaccard similarity 0.8 with
 probability RECALL; their number grows with n as a power under a quarter. An exact check follows within each class
-of candidates: one shingle set for each fingerprint, large classes in cells of two parts of about PART_BYTES each.
+of candidates, over one set for each name of a set, in cells of about PART_BYTES: a larger class is dealt over several,
+and one set of each group that a cell finds goes on to the next level, until the class fits a cell.
 
-What that misses is found by an exact route over the different shingle sets (`rest`): in any one order of all shingles,
-two sets of that similarity share a shingle among the first n - ceil(SIMILARITY n) + 1 of each. The order puts shingles
-that are common in a sample last, so that few sets share one; the sample decides about the cost, never the links. Pairs
-that meet in such a shingle and aren't joined yet are dropped where their sizes, the shingle's places or the parities of
-their shingles by residue rule the similarity out, and the others are compared set by set.
+What that misses, by its fingerprints or between cells, is found by an exact route over the different shingle sets
+(`rest`): in any one order of all shingles, two sets of that similarity share a shingle among the first
+n - ceil(SIMILARITY n) + 1 of each. The order puts shingles that are common in a sample last, so that few sets share
+one; the sample decides about the cost, never the links. Pairs that meet in such a shingle and aren't joined yet are
+dropped where their sizes, the shingle's places or the parities of their shingles by residue rule the similarity out,
+and the others are compared set by set. So RECALL and PART_BYTES decide about the cost too, not the links.
 
 Cases: null text is empty text; a document without words has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle of all words; repeated rows have equal fingerprints; null ids don't become a
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import components, durable, merge_labels
+from ._common import components, durable, merge_labels, small
 
 BUCKET = 4096
 PART = 8192
@@ -49,9 +51,9 @@ BITS = 64
 WORDS = 4
 SIMILARITY = 0.8
 CLOSE = 0.78
-RECALL = 0.99
+RECALL = 0.9
 WIDE_BUCKET = 1024
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 #: Of the exact route: bits of a set's parities at least, sampled documents (at least; and a share of all), common shingles
 #: that are told apart at most.
 PARITY = 1024
@@ -242,9 +244,15 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, a_bits: np.ndarray
     return nodes[child], nodes[label[child]]
 
 
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays without repeats have in common."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)) if len(x) else 0
+
+
 def exact_forest(bits: np.ndarray, sets: list[np.ndarray], first: np.ndarray | None, radius: int, similarity: float, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as positions (node, smaller node), of the pairs at most radius bits apart whose sets have that
-    Jaccard similarity; between the first and the others, or among all if first is None.
+    """A spanning forest, as positions (node, smaller node), of the pairs at most radius bits apart whose sets (sorted
+    arrays) have that Jaccard similarity; between the first and the others, or among all if first is None.
 
     Pairs that the forest already joins are not looked at, so a class of true copies costs little more than its bits.
     """
@@ -253,8 +261,6 @@ def exact_forest(bits: np.ndarray, sets: list[np.ndarray], first: np.ndarray | N
     sizes = np.array([len(x) for x in sets], np.int64)
     if not len(members) or not len(queries):
         return label[:0], label[:0]
-    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts, mark = np.append(0, np.cumsum(sizes)), np.zeros(len(kinds), bool)
     label, planes = label.copy(), Planes(bits[members])
     for at in range(0, len(queries), step):
         q, m = planes.within(bits[queries[at : at + step]], radius)
@@ -264,16 +270,14 @@ def exact_forest(bits: np.ndarray, sets: list[np.ndarray], first: np.ndarray | N
             me = queries[at + q[g[0]]]
             others = members[m[g]]
             low, high = np.minimum(sizes[others], sizes[me]), np.maximum(sizes[others], sizes[me])
-            others = others[low >= similarity * high]
-            own = flat[starts[me] : starts[me + 1]]
-            mark[own] = True
+            others, most = others[low >= similarity * high], 1
             while len(others := others[label[others] != label[me]]):
-                some, others = others[:64], others[64:]
-                common = np.array([np.count_nonzero(mark[flat[starts[x] : starts[x + 1]]]) for x in some])
+                some, others = others[:most], others[most:]
+                most = min(64, 2 * most)
+                common = np.array([shared(sets[x], sets[me]) for x in some])
                 near = some[common >= similarity * (sizes[some] + sizes[me] - common) - 1e-9]
                 if len(near):
                     merge_labels(label, np.append(near, me))
-            mark[own] = False
     child = np.flatnonzero(label != np.arange(len(sets)))
     return child, label[child]
 
@@ -319,11 +323,10 @@ def groups(fps: DataFrame, radius: int = 3) -> DataFrame:
     return components(_cells(keyed, PART).applyInPandas(compare, "a long, b long").distinct()).toDF("fp", "component")
 
 
-def _cells(keyed: DataFrame, part: int, weight=None):
-    """keyed (table, key, fp, ...) grouped into cells: a bucket of over part rows (or of that weight) is cut, and each two
-    of its cuts meet."""
-    sizes = keyed.groupBy("table", "key").agg((F.count("*") if weight is None else F.sum(weight)).alias("n")).where(F.col("n") > part)
-    sizes = sizes.select(F.col("table").alias("t"), F.col("key").alias("k"), F.ceil(F.col("n") / F.lit(max(1, part * 3 // 4))).cast("int").alias("s"))
+def _cells(keyed: DataFrame, part: int):
+    """keyed (table, key, fp, ...) grouped into cells: a bucket of over part rows is cut, and each two of its cuts meet."""
+    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > part)
+    sizes = small(durable(sizes.select(F.col("table").alias("t"), F.col("key").alias("k"), F.ceil(F.col("n") / F.lit(max(1, part * 3 // 4))).cast("int").alias("s"))))
     dealt = keyed.join(sizes, (F.col("table") == F.col("t")) & (F.col("key") == F.col("k")), "left").withColumn("s", F.coalesce("s", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("s")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
@@ -378,13 +381,13 @@ def differing(x: bytes, y: bytes) -> int:
 
 
 def set_prints(docs: DataFrame, width: int, similarity: float, words: int = WORDS) -> DataFrame:
-    """docs (doc_id, text, text_hash) without text, with what is known of their shingle sets: bits, fp, node (a name of
-    the set), n (its size), first (`prefix`), short and parity (`parities` of PARITY bits, and of more for a large set)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))  # COMMON shingles at most
+    """docs (doc_id, text, text_hash) without text, with what is known of their shingle sets: bits, node (a name of the
+    set), n (its size), first (`prefix`) and parity (`parities`)."""
+    common_of = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))  # COMMON shingles at most
     rest = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches):
-        common = shared.value
+        common = common_of.value
         for batch in batches:
             seen: dict[str, tuple] = {}
             out = []
@@ -393,14 +396,14 @@ def set_prints(docs: DataFrame, width: int, similarity: float, words: int = WORD
                 if t not in seen:
                     h = shingles(t, width).astype(np.uint64)
                     name = xxhash.xxh64_intdigest(h.astype("<u8").tobytes())
-                    seen[t] = (_bits(h, words).astype("<u8").tobytes(), name - (1 << 64) if name >> 63 else name, len(h), prefix(h, similarity, common).view(np.int64), parities(h, PARITY), parities(h))
+                    seen[t] = (_bits(h, words).astype("<u8").tobytes(), name - (1 << 64) if name >> 63 else name, len(h), prefix(h, similarity, common).view(np.int64), parities(h))
                 out.append(seen[t])
-            bits, node, n, first, short, parity = zip(*out, strict=True) if out else ((),) * 6
+            bits, node, n, first, parity = zip(*out, strict=True) if out else ((),) * 5
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(bits, pa.binary()), pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists, pa.array(short, pa.binary()), pa.array(parity, pa.binary())], [*(f.name for f in rest), "bits", "node", "n", "first", "short", "parity"])
+            yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(bits, pa.binary()), pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists, pa.array(parity, pa.binary())], [*(f.name for f in rest), "bits", "node", "n", "first", "parity"])
 
-    more = T.StructType.fromDDL("bits binary, node long, n int, first array<long>, short binary, parity binary").fields
-    return docs.mapInArrow(run, T.StructType([*rest, *more])).withColumn("fp", F.xxhash64("bits"))
+    more = T.StructType.fromDDL("bits binary, node long, n int, first array<long>, parity binary").fields
+    return docs.mapInArrow(run, T.StructType([*rest, *more]))
 
 
 def samples(n: int, bits: int, agree: float = AGREE, recall: float = RECALL, seed: int = 1) -> np.ndarray:
@@ -413,9 +416,9 @@ def samples(n: int, bits: int, agree: float = AGREE, recall: float = RECALL, see
     return np.stack([rng.choice(bits, size, replace=False) for _ in range(number)])
 
 
-def wide_groups(prints: DataFrame, close: float = CLOSE, words: int = WORDS) -> DataFrame:
-    """(fp, component) of distinct (fp, bits) that are joined by candidate pairs."""
-    at = samples(prints.count(), BITS * words)
+def wide_groups(nodes: DataFrame, close: float = CLOSE, words: int = WORDS) -> DataFrame:
+    """(node, class) of the nodes (node, bits) that candidate pairs join; a class's name is one of its nodes."""
+    at = samples(nodes.count(), BITS * words)
     radius = int((1 - close) * BITS * words)
 
     def keys(batches):
@@ -426,7 +429,7 @@ def wide_groups(prints: DataFrame, close: float = CLOSE, words: int = WORDS) ->
             ends = np.arange(n + 1, dtype=np.int32) * len(at)
             yield pa.record_batch([batch["fp"], batch["bits"], pa.ListArray.from_arrays(ends, pa.array(key.ravel()))], ["fp", "bits", "keys"])
 
-    keyed = prints.select("fp", "bits").mapInArrow(keys, "fp long, bits binary, keys array<long>").select("fp", "bits", F.posexplode("keys").alias("table", "key"))
+    keyed = nodes.select(F.col("node").alias("fp"), "bits").mapInArrow(keys, "fp long, bits binary, keys array<long>").select("fp", "bits", F.posexplode("keys").alias("table", "key"))
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         fp = cell["fp"].to_numpy()
@@ -438,44 +441,73 @@ def wide_groups(prints: DataFrame, close: float = CLOSE, words: int = WORDS) ->
             a, b = forest(fp[first], fp[~first], radius, bits[first], bits[~first])
         return pd.DataFrame({"a": a, "b": b})
 
-    return components(_cells(keyed, PART // 2).applyInPandas(compare, "a long, b long").distinct()).toDF("fp", "component")
+    found = components(_cells(keyed, PART // 2).applyInPandas(compare, "a long, b long")).toDF("node", "class")
+    return durable(found.union(found.select("class", "class").distinct()))
 
 
-def verified(members: DataFrame, width: int, similarity: float, close: float = CLOSE, words: int = WORDS) -> DataFrame:
-    """(fp, component) of the members (fp, bits, class, text; one of each fp) that are joined by links of that similarity."""
-    radius = int((1 - close) * BITS * words)
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """wanted (node, one, ...) without one, with hashes: the shingle set, read again from the text of row one."""
+    rest = [f for f in wanted.schema.fields if f.name != "one"]
+    wanted = small(durable(wanted.select(*(f.name for f in rest), F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))))
+    own = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
 
     def hashed(batches):
+        seen: set[int] = set()  # rows that repeat row one bring their set once a task
         for batch in batches:
+            new = [k for k, node in enumerate(batch["node"].to_pylist()) if not (node in seen or seen.add(node))]
+            batch = batch.take(pa.array(new, pa.int32()))
             sets = [shingles(t or "", width).astype("<u8").tobytes() for t in batch["text"].to_pylist()]
-            yield pa.record_batch([batch["fp"], batch["bits"], batch["class"], pa.array(sets, pa.binary())], ["fp", "bits", "key", "hashes"])
+            yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(sets, pa.binary())], [*(f.name for f in rest), "hashes"])
 
-    keyed = durable(members.select("fp", "bits", "class", "text").mapInArrow(hashed, "fp long, bits binary, key long, hashes binary").withColumn("table", F.lit(0)))
+    return own.select(*(f.name for f in rest), "text").mapInArrow(hashed, T.StructType([*rest, T.StructField("hashes", T.BinaryType())]))
 
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        fp = cell["fp"].to_numpy()
-        bits = np.frombuffer(b"".join(cell["bits"]), "<u8").reshape(len(cell), -1)
-        sets = [np.frombuffer(x, "<u8") for x in cell["hashes"]]
-        within = cell["i"].iloc[0] == cell["j"].iloc[0]
-        a, b = exact_forest(bits, sets, None if within else (cell["own"] == cell["i"]).to_numpy(), radius, similarity)
-        return pd.DataFrame({"a": fp[a], "b": fp[b]})
 
-    return components(_cells(keyed, PART_BYTES, F.length("hashes") + 1024).applyInPandas(compare, "a long, b long").distinct()).toDF("fp", "component")
+def verified(nodes: DataFrame, near: DataFrame, docs: DataFrame, width: int, similarity: float, close: float = CLOSE, words: int = WORDS) -> DataFrame:
+    """(a, b) links of that similarity between nodes of one class of near (node, class), in a forest for each cell.
 
+    nodes: (node, bits, n, one).
+    """
+    radius = int((1 - close) * BITS * words)
+    near = small(near).toDF("_node", "class")
+    left = durable(nodes.select("node", "bits", "n", "one").join(near, F.col("node") == F.col("_node")).drop("_node"))
 
-def rest(prints: DataFrame, docs: DataFrame, linked: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b), fingerprints: the links of that similarity between sets of prints that linked (fp, component) doesn't join."""
-    linked = linked.toDF("f", "component")
-    nodes = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "n", "first", "short", "parity")), F.min(F.struct("doc_id", "text_hash")).alias("one"))
-    nodes = durable(nodes.join(linked, F.col("fp") == F.col("f"), "left").withColumn("class", F.coalesce("component", "node")).drop("f", "component"))
-    spread = nodes.select("node", "n", "class", F.posexplode("first").alias("at", "shingle"))
-    own = Window.partitionBy("shingle")
-    spread = spread.withColumn("low", F.min("class").over(own)).withColumn("high", F.max("class").over(own)).where("low < high").drop("low", "high")
-    spread = durable(spread)
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.drop_duplicates("node").sort_values("node")
+        node = cell["node"].to_numpy()
+        bits = np.frombuffer(b"".join(cell["bits"]), "<u8").reshape(len(cell), -1)
+        a, b = exact_forest(bits, [np.frombuffer(x, "<u8") for x in cell["hashes"]], None, radius, similarity)
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    found, before = None, None
+    while True:
+        sizes = left.groupBy("class").agg(F.ceil(F.sum(F.col("n") * 8 + 1024) / F.lit(PART_BYTES)).cast("int").alias("cells"), F.count("*").alias("held"))
+        sizes = durable(sizes.toDF("_class", "cells", "held"))
+        dealt = left.join(small(sizes.select("_class", "cells")), F.col("class") == F.col("_class")).drop("_class")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("cells")).cast("int"))
+        sets = sets_of(docs, dealt.select("node", "bits", "class", "part", "one"), width)
+        links = durable(sets.groupBy("class", "part").applyInPandas(compare, "a long, b long"))
+        found = links if found is None else found.union(links)
+        more = sizes.where("cells > 1").agg(F.sum("held").alias("held")).first()["held"]
+        if not more or more == before:
+            return found
+        before = more
+        gone = small(links.select(F.col("a").alias("_a")))
+        left = durable(left.join(small(sizes.where("cells > 1").select("_class")), F.col("class") == F.col("_class")).drop("_class").join(gone, F.col("node") == F.col("_a"), "left_anti"))
+
+
+def rest(nodes: DataFrame, docs: DataFrame, linked: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): the links of that similarity between nodes (node, n, first, parity, one) that linked (node, component)
+    doesn't join."""
+    classed = nodes.join(small(linked).toDF("_node", "component"), F.col("node") == F.col("_node"), "left").withColumn("class", F.coalesce("component", "node"))
+    spread = classed.select("node", "n", "class", F.posexplode("first").alias("at", "shingle"))
+    # only shingles of several classes matter; few rows of two numbers tell them
+    several = spread.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    several = small(durable(several.select(F.col("shingle").alias("_shingle"))), 1_000_000)
+    spread = durable(spread.join(several, F.col("shingle") == F.col("_shingle"), "left_semi"))
     a, b = (spread.toDF(*(f"{c}_{k}" for c in ("node", "n", "class", "at", "shingle"))) for k in "ab")
     least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6  # shingles in common
     meet = (F.col("shingle_a") == F.col("shingle_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
-    pairs = a.join(b, meet & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)).select("node_a", "node_b").distinct()
+    pairs = durable(a.join(b, meet & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)).select("node_a", "node_b").distinct())
 
     def possible(batches):
         for batch in batches:
@@ -483,31 +515,24 @@ def rest(prints: DataFrame, docs: DataFrame, linked: DataFrame, width: int, simi
             apart = np.array([differing(x, y) for x, y in zip(batch["p_a"].to_pylist(), batch["p_b"].to_pylist(), strict=True)])
             yield batch.select(["node_a", "node_b"]).filter(pa.array(apart <= most, pa.bool_()))
 
-    for parity in ("short", "parity"):
-        for k in "ab":
-            pairs = pairs.join(nodes.select(F.col("node").alias(f"node_{k}"), F.col("n").alias(f"n_{k}"), F.col(parity).alias(f"p_{k}")), f"node_{k}")
-        pairs = durable(pairs.mapInArrow(possible, "node_a long, node_b long"))
+    for k in "ab":
+        pairs = small(pairs).join(nodes.select(F.col("node").alias(f"node_{k}"), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"p_{k}")), f"node_{k}")
+        pairs = durable(pairs) if k == "a" else pairs
+    pairs = durable(pairs.mapInArrow(possible, "node_a long, node_b long"))
     wanted = pairs.select(F.col("node_a").alias("w")).union(pairs.select("node_b")).distinct()
-    wanted = nodes.join(wanted, F.col("node") == F.col("w")).select("node", "fp", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
-    members = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).dropDuplicates(["node"])
-
-    def hashed(batches):
-        for batch in batches:
-            sets = [shingles(t or "", width).astype("<u8").tobytes() for t in batch["text"].to_pylist()]
-            yield pa.record_batch([batch["node"], batch["fp"], pa.array(sets, pa.binary())], ["node", "fp", "hashes"])
-
-    sets = durable(members.select("node", "fp", "text").mapInArrow(hashed, "node long, fp long, hashes binary"))
+    wanted = nodes.join(small(durable(wanted)), F.col("node") == F.col("w")).select("node", "one")
+    sets = durable(sets_of(docs, wanted, width).dropDuplicates(["node"]))
     for k in "ab":
-        pairs = pairs.join(sets.toDF(f"node_{k}", f"fp_{k}", f"hashes_{k}"), f"node_{k}")
+        pairs = pairs.join(sets.toDF(f"node_{k}", f"hashes_{k}"), f"node_{k}")
 
     def compare(batches):
         for batch in batches:
             near = []
             for x, y in zip(batch["hashes_a"], batch["hashes_b"], strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                common = shared(x, y)
                 near.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            yield pa.record_batch([batch["fp_a"], batch["fp_b"]], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield pa.record_batch([batch["node_a"], batch["node_b"]], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return durable(pairs.mapInArrow(compare, "a long, b long").distinct())
 
@@ -519,24 +544,20 @@ def classes(prints: DataFrame, id_col: str, radius: int = 3) -> DataFrame:
 
 
 def wide_classes(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of docs (doc_id, text): the smallest doc_id reachable by links of that similarity.
+    """(doc_id, text_hash, component_id) of docs (doc_id, text): the smallest doc_id reachable by links of that similarity.
 
-    Texts are read again only for the first document of each fingerprint in a class of candidates, found by id and
-    text hash, so that copies and repeated ids bring one row.
+    Texts are read again only for one document of each set in a class of candidates, found by id and text hash, so
+    that copies bring one row.
     """
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
-    texts = docs.select("doc_id", "text", own.alias("text_hash"))
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     prints = durable(set_prints(texts, width, similarity))
-    least = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("bits").alias("bits")))
-    near = wide_groups(least.select("fp", "bits")).toDF("f", "class")
-    near = near.union(near.select("class", "class")).distinct()  # a class's own name isn't among its nodes
-    wanted = least.join(near, F.col("fp") == F.col("f")).select("fp", "bits", "class", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
-    members = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    linked = verified(members.dropDuplicates(["fp"]), width, similarity)
-    more = rest(prints, texts, linked, width, similarity)
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one"), *(F.first(c).alias(c) for c in ("bits", "n", "first", "parity")))
+    nodes = durable(nodes)
+    linked = components(verified(nodes, wide_groups(nodes.select("node", "bits")), texts, width, similarity))
+    more = rest(nodes, texts, linked, width, similarity)
     if not more.isEmpty():
-        linked = components(linked.toDF("a", "b").union(more)).toDF("fp", "component")
-    return _named(prints.select("doc_id", "text_hash", "fp"), least.select("fp", "least"), linked)
+        linked = components(linked.toDF("a", "b").union(more))
+    return _named(prints.select("doc_id", "text_hash", F.col("node").alias("fp")), nodes.select(F.col("node").alias("fp"), "least"), linked)
 
 
 def _named(prints: DataFrame, least: DataFrame, linked: DataFrame) -> DataFrame:
