@@ -62,6 +62,34 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [all_segmentations(w, known) for w in words], rtol=1e-12)
 
 
+def test_forward_takes_whole_words_and_long_pieces(monkeypatch):
+    pieces = [p for p in langid.vocabulary() if len(p) > 8]
+    assert len(pieces) > 3000
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    pieces = ["▁", "a", "b", "abba", "abbaabba", "baabbaabb", "ab" * 8]
+    lattices = langid.Lattices(pieces)
+    p = np.append(np.random.default_rng(1).random((len(pieces), 2)) / 9, [[0, 0], [langid.UNKNOWN] * 2], axis=0)
+    for word in ("▁" + "abba" * 9, "▁" + "ab" * 20, "▁abz" + "ba" * 13):
+        want = [langid.np.log(all_segmentations_fast(word, dict(zip(pieces, p[:, k], strict=False)) | {"z": langid.UNKNOWN})) for k in range(2)]
+        assert np.allclose(lattices.log_words([word], p)[0], want, rtol=1e-9)
+    long = "▁" + "abba" * 5000  # its probability is far below the smallest double
+    assert np.isfinite(lattices.log_words([long, long], p)).all()
+    assert np.allclose(lattices.log_words([long], p) - lattices.log_words([long[:-4000]], p), lattices.log_words([long[:-4000]], p) - lattices.log_words([long[:-8000]], p))
+
+
+def all_segmentations_fast(word, p):
+    a = [1.0]
+    for j in range(1, len(word) + 1):
+        a.append(sum(a[i] * p[word[i:j]] for i in range(j) if word[i:j] in p))
+    return a[-1]
+
+
+def test_many_languages(spark):
+    rows = [(k, " ".join([f"{chr(97 + k % 26)}{chr(97 + k // 26)}" * 3] * 5), f"l{k % 80:02}") for k in range(800)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 80
+
+
 def test_training_raises_likelihood():
     counts = {"▁hello": 5, "▁help": 3, "▁yellow": 2}
     lattices = langid.Lattices(langid.vocabulary())
