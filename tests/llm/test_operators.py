@@ -323,6 +323,17 @@ def test_personal_data_contract(spark, sf):
     assert not any(regex_spans(t or "") for t in masked.values())
 
 
+def test_long_spans_and_windows(monkeypatch):
+    tagger = pii.trained()
+    for n in (180, 190, 1000, 5000):
+        assert pii.find(["write to " + "j" * n + " [at] example.com now"], tagger)[0][1] == [(9, n + 26, 0)]
+    text = "12 34 call (216) 555-4155 x7 or joe@example.com " * 400
+    whole = pii.find([text], tagger)
+    assert len(whole[0][1]) == 400
+    monkeypatch.setattr(pii, "TAGGED", 100)
+    assert pii.find([text], tagger) == whole
+
+
 def test_personal_data_is_linear():
     import time
 
@@ -705,6 +716,38 @@ def test_extraction_details():
     assert html_extract.trained().extract([page, "", "<", "<p", "plain"])[:4] == ["The title & more\nFirst line of text.\nSecond one, é <x> €.", "", "", ""]
 
 
+def test_pages_with_open_elements():
+    ex = html_extract.trained()
+    say = "Some words here, as a text that is main."
+    assert ex.extract([f"<html><head><title>x</title><article><p>{say}</article></html>", f"<html><head><meta x><article><p>{say}", f"<title>x<article><p>{say}</article>"]) == [say] * 3
+    math = f"<article><p>Before <object data=x>an object <math><mi>x</mi><mo>=</mo><mn>2</mn></math> after it.<p>{say}</article>"
+    assert ex.extract([math]) == [f"Before an object x=2 after it.\n{say}"]
+    for tag in ("svg", "select", "noscript", "template", "textarea", "iframe"):  # never closed
+        assert say in ex.extract([f"<article><p>{say}</p><{tag}><p>{say}</p></article>"])[0]
+    assert ex.extract([f"<article><p>{say}</p><script>var x = 1;<p>{say}</p></article>"]) == [say]
+
+
+def test_reading_pages_is_linear():
+    import time
+
+    def spent(page):
+        start = time.process_time()
+        html_extract.blocks(page)
+        return time.process_time() - start
+
+    for page in ("<div>x", "<b><a>y", "<x-y>z", "<select><ul><li>w", "<p class='a'>v</i>"):
+        assert spent(page * 60_000) < 12 * spent(page * 10_000) + 0.5
+    linked = html_extract.blocks("<p>" + "<b>" * 200 + "<a>in a link</a>")
+    assert linked[0][1] == 1.0
+
+
+def test_extraction_odd(spark):
+    page = "<article><p>Some words here, as text.</p></article>"
+    df = spark.createDataFrame([(1, page, "old", 5), (1, page, "old", 5), (2, None, None, None)], "page_id long, html string, text string, n_chars long")
+    got = [tuple(r) for r in html_extract.extract(df).orderBy("page_id").collect()]
+    assert got == [(1, "Some words here, as text.", 25)] * 2 + [(2, "", 0)]
+
+
 def test_extraction_contract(spark, sf):
     pages = table(spark, sf, "pages")
     odd = spark.createDataFrame([(900, None, None), (901, "u", ""), (None, "u", "<article><p>Some words here, as text.</p></article>"), (902, "u", "<b>" * 50_000 + "<div>" * 3000 + "x")], "page_id long, url string, html string")
@@ -753,6 +796,27 @@ def test_sharding_odd(spark):
     check_shards(got, [20] * 6000 + [len(f"t{k}") + 8 for k in range(3000)], 24, 0.05 * 147_000 / 24)
 
 
+def test_slot_maps_are_stored_and_read(spark, sf, tmp_path):
+    docs = table(spark, sf.replace("0.001", "0.01"), "documents")
+    maps = sharding.SlotMaps(spark, f"file://{tmp_path}/maps")
+    assert maps.newest() == 0
+    first = {r["virtual_slot"]: r["shard"] for r in sharding.shard(docs, 24, 512, maps).collect()}
+    assert maps.newest() == 1
+    # a second run reads the map: edited by hand (two shards change names), it decides
+    swap = F.when(F.col("shard") == 0, 1).when(F.col("shard") == 1, 0).otherwise(F.col("shard"))
+    maps.save(maps.load(1).withColumn("shard", swap), 2)
+    got = sharding.shard(docs, 24, 512, maps).collect()
+    assert {r["version"] for r in got} == {2} and maps.newest() == 2
+    assert all(r["shard"] == {0: 1, 1: 0}.get(first[r["virtual_slot"]], first[r["virtual_slot"]]) for r in got)
+    grown = sharding.shard(docs, 25, 512, maps).collect()
+    assert maps.newest() == 3 and {r["shard"] for r in grown} == set(range(25))
+    before = {r["virtual_slot"]: r["shard"] for r in got}
+    moved = sum(before[r["virtual_slot"]] != r["shard"] for r in grown)
+    assert 0 < moved < 0.2 * len(grown)
+    with pytest.raises(ValueError):
+        maps.save(maps.load(1), 2)
+
+
 def test_rebalance_moves_little(spark, sf):
     rows = sharding.records(table(spark, sf.replace("0.001", "0.01"), "documents"), 512)
     sizes = sharding.slot_sizes(rows)
@@ -767,6 +831,19 @@ def test_rebalance_moves_little(spark, sf):
     assert len(loads) == 25 and max(loads.values()) < 1.1 * sum(loads.values()) / 25
 
 
+def test_a_wrong_mask_fails(spark):
+    rows = [(1, 0, "user", "ask <s>"), (1, 1, "assistant", "say [INST] it"), (1, 2, "assistant", ""), (1, 3, "assistant", "more"), (2, 0, "user", "only")]
+    done = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    text = lambda runs: {r["conv_id"]: r["t"] for r in done.select("conv_id", chat.under_mask(F.col("formatted"), runs).alias("t")).collect()}
+    runs = F.col("loss_runs")
+    assert text(runs) == {1: "say [INST] itmore", 2: ""}
+    turned = F.transform(runs, lambda r: F.struct(r["chars"].alias("chars"), (~r["counts"]).alias("counts")))
+    assert text(turned)[1] != text(runs)[1] and text(turned)[2]
+    shifted = F.transform(runs, lambda r, k: F.struct((r["chars"] + F.when(k < 2, 1 - 2 * k).otherwise(0)).alias("chars"), r["counts"].alias("counts")))
+    assert text(shifted) == {1: None, 2: None}
+    assert text(F.slice(runs, 1, 2)) == {1: None, 2: None}
+
+
 def test_native_operators_have_no_python(spark, sf):
     for df in (chat.contract(table(spark, sf, "conversations")), sharding.contract(table(spark, sf, "documents"))):
         plan = df._jdf.queryExecution().executedPlan().toString()

@@ -87,6 +87,26 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(own, turns))
 
 
+def _pieces(formatted: Column) -> Column:
+    """The non-empty stretches that a formatted string is made of: controls with roles, and escaped texts."""
+    parts = F.split(formatted, "</s>", -1)
+
+    def of_block(block: Column) -> Column:
+        head = F.concat(F.substring_index(block, _OPEN, 1), F.lit(_OPEN))
+        texts = F.split(F.substr(block, F.length(head) + F.lit(1)), r"\[/INST\]", -1)
+        return F.concat(F.array(head), F.flatten(F.transform(texts, lambda t, k: F.array(F.when(k == 0, "").otherwise(_NEXT), t))), F.array(F.lit(_END)))
+
+    return F.filter(F.flatten(F.transform(F.slice(parts, 1, F.size(parts) - 1), of_block)), lambda p: F.length(p) > 0)
+
+
+def under_mask(formatted: Column, loss_runs: Column) -> Column:
+    """The unescaped text that the runs of the mask count, nothing between; null if the runs don't fall on the stretches
+    of the formatted string, which then has another mask. Linear in the string."""
+    cut = F.zip_with(_pieces(formatted), loss_runs, lambda p, r: F.struct(p.alias("piece"), r["chars"].alias("chars"), r["counts"].alias("counts")))
+    fits = F.forall(cut, lambda x: F.coalesce(F.length(x["piece"]) == x["chars"], F.lit(False)))
+    return F.when(fits, F.array_join(F.transform(F.filter(cut, lambda x: x["counts"]), lambda x: unescape(x["piece"])), ""))
+
+
 def contract(conversations: DataFrame) -> DataFrame:
     """The digest columns, all read back from the formatted strings, for the table plus conversation -7."""
     spark = conversations.sparkSession
@@ -94,7 +114,8 @@ def contract(conversations: DataFrame) -> DataFrame:
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(LOSS_ROLE).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     done = format_chats(own.unionAll(probe))
     done = done.withColumn("turns", read_back(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
+    done = done.withColumn("loss", under_mask(F.col("formatted"), F.col("loss_runs")))
+    loss = F.col("loss")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id",

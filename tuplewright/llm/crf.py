@@ -67,6 +67,26 @@ class Chain:
                 out[k] = path[r, : lengths[r]]
         return out
 
+    def decode_blocks(self, blocks, n: int) -> np.ndarray:
+        """The best labels of one sequence of n steps that comes in blocks; holds one byte a label and step."""
+        back, best, i = np.zeros((n, len(self.first)), np.int8), None, 0
+        labels = np.arange(len(self.first))
+        for block in blocks:
+            for s in self.scores(block[None])[0]:
+                if best is None:
+                    best = self.first + s
+                else:
+                    via = best[:, None] + self.move
+                    back[i] = via.argmax(0)
+                    best = via[back[i], labels] + s
+                i += 1
+        path = np.zeros(n, np.int8)
+        now = int(best.argmax()) if n else 0
+        for i in range(n - 1, -1, -1):
+            path[i] = now
+            now = back[i, now]
+        return path
+
     def fit(self, sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 120, rate: float = 0.15, penalty: float = 0.02):
         x, lengths = pad(sequences, self.n)
         b, t, slots = x.shape

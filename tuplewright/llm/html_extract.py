@@ -1,28 +1,33 @@
 """Main text of web pages by a linear-chain CRF over DOM leaf blocks.
 
 A page is read in one linear pass into leaf blocks: stretches of text between block-level tags, each with its
-chain of open elements. Scripts, styles, comments and the head are no text. Features of a block are its ancestors'
-tags, the kinds of words in their class, id and role attributes, and the length, links, punctuation and words of
+chain of open elements, summed up as `State`, so that the pass is linear however deep elements nest. Scripts, styles,
+comments and the head are no text; an element or text that a head can't hold ends it. Features of a block are its
+ancestors' tags, the kinds of words in their class, id and role attributes, and the length, links, punctuation and words of
 its text. The CRF is trained on pages that `labelled` makes by rule and decoded by Viterbi in numpy batches.
 
 In a block, character references are decoded, runs of white space become one space and the ends are trimmed; a line
 break element is white space. Blocks found to be main text are joined in page order by line feeds.
 
 Cases: null html is an empty page; an empty page, and one without main text, gives the empty string; tags that
-are never closed or never opened are tolerated; a page that ends inside a tag keeps what came before; repeated rows
-give equal results.
+are never closed or never opened are tolerated, and of those only a script or style takes the rest of the page with
+it; a page that ends inside a tag keeps what came before; repeated rows give equal results. Columns text and n_chars
+of the input are replaced.
 """
 
 import functools
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import SEGMENT, runs
 from .crf import Chain, Index
 
 TAG = re.compile(
@@ -32,8 +37,13 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas title select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
+#: Elements whose text is not the page's, if they are closed; the first two take the rest of the page if they are not.
+RAW = frozenset("script style noscript template textarea iframe svg title select".split())
+HEAD = frozenset("html head base basefont bgsound link meta title noscript script style template".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mspace mpadded mphantom mtable mtr mtd semantics annotation".split()
+)
 SEMANTIC = frozenset("article main nav header footer aside form section table ul ol dl figure blockquote pre dialog menu address details".split())
 #: Kinds of attribute words, by the words' beginnings.
 CUES = {
@@ -66,48 +76,83 @@ def cues(attributes: str) -> frozenset:
 MARKS = ("\ue000", "\ue001")
 
 
-class Block:
-    __slots__ = ("parts", "linked", "path")
+class State(NamedTuple):
+    """What features need of a chain of open elements, inline ones apart."""
+
+    tag: str = ""
+    near: str = ""  # the innermost SEMANTIC tags
+    next: str = ""
+    article: bool = False
+    main: bool = False
+    body: bool = False  # an article, a main element or one whose attributes say so
+    found: frozenset = frozenset()  # kinds of attribute words of all elements, and of those inside that body
+    inner: frozenset = frozenset()
+    chrome: frozenset = frozenset()
+
+    def within(self, tag: str, words: frozenset) -> "State":
+        body = tag in ("article", "main") or "body" in words
+        near, next_ = (tag, self.near) if tag in SEMANTIC else (self.near, self.next)
+        chrome = self.chrome | {tag} if tag in CHROME else self.chrome
+        return State(tag, near, next_, self.article or tag == "article", self.main or tag == "main", self.body or body, self.found | words, (frozenset() if body else self.inner) | (words - {"body"}), chrome)
+
 
-    def __init__(self, path):
-        self.parts, self.linked, self.path = [], 0, path
+CHROME = frozenset(("nav", "footer", "aside", "form", "header", "dialog", "menu"))
+OUTSIDE = State()
+_BLOCK_STOP = SEMANTIC | {"div", "li", "td", "th", "dd"}
 
 
-def blocks(page: str) -> list[tuple[str, float, tuple]]:
-    """(text, share of its characters in links, path) of each leaf block with text; path: ((tag, cues), ...) outermost first."""
+def blocks(page: str) -> list[tuple[str, float, State]]:
+    """(text, share of its characters in links, state) of each leaf block with text."""
     out = []
-    stack: list[tuple[str, frozenset]] = []
-    now = Block(())
+    stack: list[list] = []  # tag, state, open links
+    depth: dict[str, list[int]] = {}  # where in the stack each tag is open
+    links, outer = 0, 0  # open links, and those outside all elements
+    parts: list[str] = []
+    linked, state = 0, OUTSIDE
+    endless: set[str] = set()  # raw tags that no later tag ends
     at, n = 0, len(page)
 
     def close():
-        nonlocal now
-        if now.parts:
-            text = " ".join("".join(now.parts).split())
+        nonlocal parts, linked
+        if parts:
+            text = " ".join("".join(parts).split())
             if text:
-                out.append((text, min(1.0, now.linked / len(text)), now.path))
-        now = Block(())
+                out.append((text, min(1.0, linked / len(text)), state))
+        parts, linked = [], 0
+
+    def cut(k: int):
+        """Close the elements from number k of the stack on."""
+        nonlocal links
+        while len(stack) > k:
+            tag, _, own = stack.pop()
+            depth[tag].pop()
+            links -= own
+
+    def last(tags) -> int:
+        return max((depth[t][-1] for t in tags if depth.get(t)), default=-1)
 
     def put(s: str):
-        if not s or any(t == "head" for t, _ in stack):
+        nonlocal linked, state
+        if not s:
             return
+        if depth.get("head"):
+            if s.isspace():
+                return
+            cut(depth["head"][-1])
         s = html.unescape(s) if "&" in s else s
-        if not now.parts:
+        if not parts:
             if s.isspace():
                 return
-            now.path = tuple(e for e in stack if e[0] not in INLINE)
-        now.parts.append(s)
-        if any(t == "a" for t, _ in stack):
-            now.linked += len(s)
+            state = stack[-1][1] if stack else OUTSIDE
+        parts.append(s)
+        if links:
+            linked += len(s)
 
     def drop(tags: tuple, stop: frozenset):
         """Close the innermost of tags, if none of stop is nearer."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
+        k = last(tags)
+        if k >= 0 and k >= last(stop):
+            cut(k)
 
     while at < n:
         m = TAG.search(page, at)
@@ -120,80 +165,87 @@ def blocks(page: str) -> list[tuple[str, float, tuple]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in INLINE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            else:
+            if tag == "a":
+                if (stack[-1][2] if stack else outer) > 0:
+                    links -= 1
+                    if stack:
+                        stack[-1][2] -= 1
+                    else:
+                        outer -= 1
+            elif tag not in INLINE:
                 close()
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                if depth.get(tag):
+                    cut(depth[tag][-1])
             continue
+        if tag not in HEAD and depth.get("head"):
+            cut(depth["head"][-1])
+        empty = m[3].rstrip().endswith("/")
         if tag in RAW:
-            if tag not in ("title",):
-                now.parts.append("") if now.parts else None
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
-                at = end.end() if end else n
-            continue
+            if empty:
+                continue
+            end = None if tag in endless else END[tag].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            endless.add(tag)
+            if tag in ("script", "style"):
+                break
+            if tag == "title":  # its own text only
+                k = page.find("<", at)
+                at = n if k < 0 else k
+                continue
         if tag == "br":
-            if now.parts:
-                now.parts.append(" ")
+            if parts:
+                parts.append(" ")
             continue
-        if tag not in INLINE:
-            close()
-            if tag == "body":
-                drop(("head",), frozenset())
-            if tag not in ("html", "head", "body"):
-                drop(("p", "h1", "h2", "h3", "h4", "h5", "h6") if tag != "li" else ("p",), SEMANTIC | {"div", "li", "td", "th", "dd"})
-            if tag == "li":
-                drop(("li",), frozenset(("ul", "ol", "menu")))
-            elif tag in ("td", "th"):
-                drop(("td", "th"), frozenset(("tr", "table")))
-            elif tag == "tr":
-                drop(("tr",), frozenset(("table",)))
-            elif tag in ("dt", "dd"):
-                drop(("dt", "dd"), frozenset(("dl",)))
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            if tag in INLINE and sum(t in INLINE for t, _ in stack) > 64:
-                continue  # formatting tags that are never closed
-            stack.append((tag, cues(m[3]) if m[3] and tag not in INLINE else frozenset()))
+        if tag in INLINE:
+            if tag == "a" and not empty:
+                links += 1
+                if stack:
+                    stack[-1][2] += 1
+                else:
+                    outer += 1
+            continue
+        close()
+        if tag not in ("html", "head", "body"):
+            drop(("p", "h1", "h2", "h3", "h4", "h5", "h6") if tag != "li" else ("p",), _BLOCK_STOP)
+        if tag == "li":
+            drop(("li",), frozenset(("ul", "ol", "menu")))
+        elif tag in ("td", "th"):
+            drop(("td", "th"), frozenset(("tr", "table")))
+        elif tag == "tr":
+            drop(("tr",), frozenset(("table",)))
+        elif tag in ("dt", "dd"):
+            drop(("dt", "dd"), frozenset(("dl",)))
+        if tag not in VOID and not empty:
+            depth.setdefault(tag, []).append(len(stack))
+            stack.append([tag, (stack[-1][1] if stack else OUTSIDE).within(tag, cues(m[3]) if m[3] else frozenset()), 0])
     close()
     return out
 
 
+END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
+
+
 def _size(n: int) -> str:
     return str(min(n.bit_length(), 10))
 
 
-def describe(block: tuple) -> tuple:
+def describe(block: tuple[str, float, State]) -> tuple:
     """What the features of a block are made of; few distinct values, so that they can be remembered."""
-    text, linked, path = block
-    tag = path[-1][0] if path else ""
-    semantic = [t for t, _ in path if t in SEMANTIC]
-    inner, found = set(), set()
-    seen_body = False
-    for t, c in path:
-        found |= c
-        if t in ("article", "main") or "body" in c:
-            seen_body, inner = True, set()
-        inner |= c - {"body"}
+    text, linked, of = block
     return (
-        tag,
-        semantic[-1] if semantic else "",
-        semantic[-2] if len(semantic) > 1 else "",
-        "article" if "article" in semantic else "main" if "main" in semantic else "cue" if seen_body else "",
-        frozenset(found - {"body"}),
-        frozenset(inner) if seen_body else frozenset(),
+        of.tag,
+        of.near,
+        of.next,
+        "article" if of.article else "main" if of.main else "cue" if of.body else "",
+        of.found - {"body"},
+        of.inner if of.body else frozenset(),
         int(linked * 4),
         _size(len(text)),
         text[-1] in ".!?:…\"'»",
         len(text) < 300 and _NOTE.search(text) is not None,
-        frozenset(t for t in semantic if t in ("nav", "footer", "aside", "form", "header", "dialog", "menu")),
+        of.chrome,
     )
 
 
@@ -340,8 +392,9 @@ def extract(df: DataFrame, page: str = "html") -> DataFrame:
     def run(batches):
         for batch in batches:
             texts: list[str] = []
-            for at in range(0, batch.num_rows, 500):
-                texts += shared.value.extract([p or "" for p in batch[page].slice(at, 500).to_pylist()])
+            sizes = [n or 0 for n in pc.binary_length(batch[page]).to_pylist()]
+            for start, stop in runs(sizes, 4 * SEGMENT):
+                texts += shared.value.extract([p or "" for p in batch[page].slice(start, stop - start).to_pylist()])
             yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*(f.name for f in rest), "text", "n_chars"])
 
     return df.mapInArrow(run, T.StructType([*rest, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

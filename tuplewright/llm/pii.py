@@ -4,7 +4,8 @@ Kinds: email, ip, card, phone. The base spans follow the patterns of `base_spans
 (maximal runs without white space) and is trained on the small table that `labelled` makes by rule. It reads
 every word that holds a digit or an at sign (also spelled in brackets) with CONTEXT words on either side; any
 other word is label O by constraint, so the rest of the text needs no lattice. Its spans are kept where they pass
-the checks of `plausible` and don't touch a base span. Decoding is Viterbi in numpy batches.
+the checks of `plausible` and don't touch a base span. Decoding is Viterbi in numpy batches. What the rule costs: personal
+data spelled without any digit, at sign or bracketed at or dot, more than CONTEXT words from such a word, isn't looked for.
 
 All scans are linear in the text, however long its words and digit runs are.
 
@@ -15,6 +16,9 @@ repeated rows give equal results. Offsets are code points, ends exclusive.
 import functools
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +210,10 @@ def labelled(n: int = 360, seed: int = 5) -> list[tuple[list[str], list[int]]]:
     return out
 
 
+#: Words that are tagged at once; a longer window is tagged in blocks of so many.
+TAGGED = 16_384
+
+
 class Tagger:
     def __init__(self, table: list[tuple[list[str], list[int]]], steps: int = 100):
         self.index = Index()
@@ -216,15 +224,26 @@ class Tagger:
     def tag(self, windows: list[list[str]]) -> list[np.ndarray]:
         return self.chain.decode([self.index.rows(features(w)) for w in windows])
 
+    def tag_long(self, text: str, spans: array) -> np.ndarray:
+        """The labels of one window of any length; holds the words of one block, and a few bytes a word."""
+        n = len(spans) // 2
+
+        def blocks():
+            for k in range(0, n, TAGGED):
+                low, stop = max(0, k - 2), min(n, k + TAGGED)
+                words = [text[spans[2 * i] : spans[2 * i + 1]] for i in range(low, min(n, stop + 1))]
+                yield self.index.rows(features(words)[k - low : stop - low])
+
+        return self.chain.decode_blocks(blocks(), n)
+
 
 @functools.lru_cache
 def trained(n: int = 600, seed: int = 5) -> Tagger:
     return Tagger(labelled(n, seed))
 
 
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Spans of the words around triggers, CONTEXT either side; overlapping windows are one."""
-    out: list[list[tuple[int, int]]] = []
+def windows(text: str):
+    """Starts and ends, in turn, of the words around triggers, CONTEXT either side; overlapping windows are one."""
     last = -1
     m = TRIGGER.search(text)
     while m:
@@ -244,19 +263,17 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
                 break
             left.append((begin, end))
             at = begin
-        own = left[::-1]
+        own = array("q", chain.from_iterable(left[::-1]))
         quiet = 0
         for w in WORDS.finditer(text, start):
-            own.append(w.span())
+            own.extend(w.span())
             quiet = 0 if TRIGGER.search(text, *w.span()) else quiet + 1
             if quiet == 2 * CONTEXT:  # the next window's words before its trigger are then its own
                 break
-        own = own[: len(own) - max(0, quiet - CONTEXT)]
-        hit = own[-1][1]
-        out.append(own)
-        last = hit
-        m = TRIGGER.search(text, hit)
-    return out
+        del own[len(own) - 2 * max(0, quiet - CONTEXT) :]
+        last = own[-1]
+        m = TRIGGER.search(text, last)
+        yield own
 
 
 _STRIP = "([{<\"'", ".,;:!?)]}>\"'#*$%&"
@@ -265,49 +282,70 @@ _STRIP = "([{<\"'", ".,;:!?)]}>\"'#*$%&"
 def plausible(kind: int, s: str) -> bool:
     d = only_digits(s)
     if kind == 0:
+        s = " ".join(s.split())
         plain = re.sub(r"\s*(?:\[at\]|\(at\)|\{at\}|@)\s*", "@", s, flags=re.I)
         plain = re.sub(r"\s*(?:\[dot\]|\(dot\)|\{dot\})\s*", ".", plain, flags=re.I)
         return re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", plain) is not None
     if kind == 1:
-        parts = re.split(r"\s*(?:\[\.\]|\(\.\)|\.)\s*", s)
+        parts = re.split(r" ?(?:\[\.\]|\(\.\)|\.) ?", " ".join(s.split()))
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return re.fullmatch(r"[0-9][0-9 ._/-]+[0-9]", s) is not None and 12 <= len(d) <= 19 and luhn(d)
     return re.fullmatch(r"\+?[(0-9][0-9 ()./-]+[0-9]", s) is not None and 9 <= len(d) <= 15 and len(d) < len(s)
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], spans: list[tuple[int, int]], tags: np.ndarray) -> list[tuple[int, int, int]]:
-    out, k = [], 0
-    while k < len(spans):
-        if tags[k] == 0:
-            k += 1
+def reach(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The starts of base spans, in order, and how far the spans up to each reach."""
+    return [b[0] for b in base], list(accumulate((b[1] for b in base), max))
+
+
+def added_spans(text: str, base: tuple[list[int], list[int]], spans: array, tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """The plausible spans that tags say, where they touch no base span (as `reach` has them)."""
+    out, n, stop = [], len(tags), 0
+    starts, ends = base
+    for k in np.flatnonzero(tags).tolist():
+        if k < stop:
             continue
         kind = (int(tags[k]) - 1) // 2
         stop = k + 1
-        while stop < len(spans) and tags[stop] == 2 + 2 * kind:
+        while stop < n and tags[stop] == 2 + 2 * kind:
             stop += 1
-        s, e = spans[k][0], spans[stop - 1][1]
-        k = stop
+        s, e = spans[2 * k], spans[2 * stop - 1]
         while s < e and text[s] in _STRIP[0] and not (kind == 3 and text[s] == "("):
             s += 1
         while e > s and text[e - 1] in _STRIP[1]:
             e -= 1
-        if e - s <= 200 and plausible(kind, text[s:e]) and all(b[1] <= s or e <= b[0] for b in base):
+        before = bisect_left(starts, e)  # base spans that begin before the end
+        if plausible(kind, text[s:e]) and (not before or ends[before - 1] <= s):
             out.append((s, e, kind))
     return out
 
 
 def find(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
-    """(base spans, added spans) of each text; one Viterbi batch for all windows of the texts."""
+    """(base spans, added spans) of each text; windows of about TAGGED words go through Viterbi together."""
     base = [base_spans(t) for t in texts]
-    jobs = [(k, w) for k, t in enumerate(texts) for w in windows(t)]
+    held_by = [reach(b) for b in base]
     added: list[list] = [[] for _ in texts]
-    for at in range(0, len(jobs), 4096):
-        part = jobs[at : at + 4096]
-        tags = tagger.tag([[texts[k][s : min(e, s + 400)] for s, e in w] for k, w in part])
-        for (k, w), t in zip(part, tags, strict=True):
-            near = [b for b in base[k] if b[1] > w[0][0] and b[0] < w[-1][1]]
-            added[k] += added_spans(texts[k], near, w, t)
+    jobs: list[tuple[int, array]] = []
+
+    def finish() -> None:
+        tags = tagger.tag([[texts[k][w[i] : w[i + 1]] for i in range(0, len(w), 2)] for k, w in jobs])
+        for (k, w), t in zip(jobs, tags, strict=True):
+            added[k] += added_spans(texts[k], held_by[k], w, t)
+        jobs.clear()
+
+    held = 0
+    for k, text in enumerate(texts):
+        for w in windows(text):
+            if len(w) > 2 * TAGGED:
+                added[k] += added_spans(text, held_by[k], w, tagger.tag_long(text, w))
+                continue
+            jobs.append((k, w))
+            held += len(w) // 2
+            if held >= TAGGED:
+                finish()
+                held = 0
+    finish()
     return list(zip(base, added, strict=True))
 
 

@@ -8,6 +8,11 @@ is `bytes`: shards' sizes are near equal.
 Places in a shard are gapless from 0: a record's place in its slot plus the records in the slots before it in the
 shard, so that the only sort is within slots, never within a whole shard.
 
+`SlotMaps` stores the versions of the map: a version is written once, read by every later run and never changed; a
+run whose slots or number of shards the newest version no longer suits writes the next one.
+
+Groups, as far as this law has them, are equal texts: they aren't kept together, as one may hold a third of all bytes.
+
 The map has SLOTS rows, which bounds what is broadcast; per-slot totals are aggregated before any shuffle. Copies of
 a text have different ids and spread over slots. Rows that repeat an id and a text share a slot; if they make it
 hold over HOT times the mean number of rows, its rows are dealt over all slots by their row number instead.
@@ -16,10 +21,13 @@ Cases: null text has no bytes and size 8, crc32 null as of no bytes (0); null id
 gives an empty result.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import durable
+from ..sources.files import Folder
+from ._common import checkpoint_folder, durable
 
 SLOTS = 4096
 SHARDS = 24
@@ -27,6 +35,47 @@ BASE = 8
 HOT = 8
 
 
+class SlotMaps:
+    """Versions of a slot map as Parquet under a folder that all executors share: version=1, version=2, ..."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, Folder(spark, folder)
+
+    def _path(self, version: int) -> str:
+        return self.folder.at(f"version={version}")
+
+    def newest(self) -> int:
+        """The newest version whose write has ended, 0 if there is none."""
+        done = [n for n in self.folder.names() if n.startswith("version=") and self.folder.exists(f"{n}/_SUCCESS")]
+        return max((int(n.removeprefix("version=")) for n in done), default=0)
+
+    def load(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(self._path(version)).select(F.lit(version).alias("version"), "virtual_slot", "shard")
+
+    def save(self, slot_map: DataFrame, version: int) -> DataFrame:
+        """Writes a version that isn't there yet (an unfinished one is replaced) and reads it back."""
+        if version <= self.newest():
+            raise ValueError(f"version {version} is there already")
+        slot_map.select("virtual_slot", "shard").coalesce(1).write.mode("overwrite").parquet(self._path(version))  # SLOTS rows
+        return self.load(version)
+
+    def current(self, sizes: DataFrame, shards: int, slack: float = 1.02) -> DataFrame:
+        """The newest version if it suits the slots' sizes and the number of shards; else the next, made and stored."""
+        newest = self.newest()
+        if not newest:
+            return self.save(assign(sizes, shards), 1)
+        old = self.load(newest)
+        return old if suits(old, sizes, shards, slack) else self.save(durable(rebalance(old, sizes, shards, slack)), newest + 1)
+
+
+def suits(slot_map: DataFrame, sizes: DataFrame, shards: int, slack: float) -> bool:
+    """Whether every slot has a shard, all shards are used, and none holds over slack times the mean and a slot."""
+    own = sizes.join(slot_map.select(F.col("virtual_slot").alias("s"), "shard"), F.col("virtual_slot") == F.col("s"), "left")
+    of = own.groupBy("shard").agg(F.sum("bytes").alias("load"), F.max("bytes").alias("slot"), F.count("*").alias("slots"))
+    row = of.agg(F.sum("slots").alias("slots"), F.count("shard").alias("used"), F.max(F.col("shard").isNull() | (F.col("shard") >= shards)).alias("strange"), F.max("load").alias("most"), F.sum("load").alias("all"), F.max("slot").alias("slot")).first()
+    return not row["all"] or (not row["strange"] and row["used"] == min(shards, row["slots"]) and row["most"] <= slack * row["all"] / shards + row["slot"])
+
+
 def slot_of(slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(F.lit("slot"), F.col("doc_id"), F.col("text_crc32"), F.col("size")), F.lit(slots)).cast("int")
 
@@ -105,12 +154,17 @@ def spread(rows: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     return rows, durable(slot_sizes(rows))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, version of every row."""
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, maps: SlotMaps | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, version of every row.
+
+    maps: where the versions of the slot map lie; None: in a new folder beside the checkpoints.
+    """
+    maps = maps or SlotMaps(docs.sparkSession, f"{checkpoint_folder(docs.sparkSession)}/slot-maps-{uuid.uuid4().hex}")
     rows, sizes = spread(durable(records(docs, slots)), slots)
-    slot_map = durable(assign(sizes, shards))
+    slot_map = maps.current(sizes, shards)
     out = place(rows, sizes, slot_map)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("version"))
+    version = F.lit(maps.newest())
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", version.alias("version"))
 
 
 def contract(docs: DataFrame) -> DataFrame:
