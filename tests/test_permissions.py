@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tuplewright.model import TUPLE, SchemaError, Tuple, make_tuple
 from tuplewright.operators import permissions
@@ -12,15 +13,20 @@ from tuplewright.plans.schema_language import parse
 
 MODEL = """
 schema 1
-type user
-type group { relation member: user | group#member }
-type folder { relation parent: folder relation viewer: user | group#member permission view = viewer + parent->view }
-type document {
-  relation parent: folder
-  relation viewer: user | group#member
-  relation editor: user | group#member
-  permission edit = editor
-  permission view = viewer + edit + parent->view
+type person
+type crew { relation hand: person | crew#hand }
+type site {
+  relation part_of: site
+  relation guard: person | crew#hand
+  relation owner: person
+  permission enter = guard + manage + part_of->enter
+  permission manage = owner + part_of->manage
+}
+type machine {
+  relation stands_at: site
+  relation operator: person | crew#hand
+  permission run = operator + stands_at->manage
+  permission inspect = run + stands_at->enter
 }
 """
 
@@ -57,7 +63,7 @@ def random_tuples(seed, n=60):
     schema = parse(MODEL)
     found = set()
     for _ in range(n):
-        ty = rng.choice(["group", "folder", "document"])
+        ty = rng.choice(["crew", "site", "machine"])
         r = rng.choice(list(schema.types[ty].relations))
         s = rng.choice(schema.types[ty].relations[r])
         found.add(Tuple(ty, f"{rng.randrange(6)}", r, s.type, f"{rng.randrange(6)}", s.relation))
@@ -68,40 +74,49 @@ def random_tuples(seed, n=60):
 def test_check_against_naive(spark, seed):
     schema, tuples = random_tuples(seed)
     df = spark.createDataFrame(tuples, TUPLE)
-    asked = [(f"{ty}:{k}", d, f"user:{u}") for ty, ds in (("group", ["member"]), ("folder", ["view", "viewer"]), ("document", ["view", "edit", "viewer"])) for d in ds for k in range(6) for u in range(7)]
+    asked = [(f"{ty}:{k}", d, f"person:{u}") for ty, ds in (("crew", ["hand"]), ("site", ["enter", "manage", "guard"]), ("machine", ["inspect", "run", "operator"])) for d in ds for k in range(6) for u in range(7)]
     got = {(r["object"], r["permission"], r["subject"]): r["status"] for r in permissions.check(df, schema, spark.createDataFrame(asked, "o string, p string, s string")).collect()}
     want = {q: "ALLOW" if naive(tuples, schema, tuple(q[0].split(":")), q[1], tuple(q[2].split(":"))) else "DENY" for q in asked}
     assert got == want
     assert sum(v == "ALLOW" for v in want.values()) > 20 < sum(v == "DENY" for v in want.values())
-    objects = spark.createDataFrame([(f"document:{k}",) for k in range(6)], "o string")
-    viewers = {(r["object"], r["subject"]) for r in permissions.lookup_subjects(df, schema, objects, "view", "user").collect()}
-    assert viewers == {(o, s) for (o, p, s), v in want.items() if v == "ALLOW" and p == "view" and o.startswith("document")}
-    users = spark.createDataFrame([(f"user:{k}",) for k in range(7)], "s string")
-    own = {(r["object"], r["subject"]) for r in permissions.lookup_resources(df, schema, users, "document", "view").collect()}
+    objects = spark.createDataFrame([(f"machine:{k}",) for k in range(6)], "o string")
+    viewers = {(r["object"], r["subject"]) for r in permissions.lookup_subjects(df, schema, objects, "inspect", "person").collect()}
+    assert viewers == {(o, s) for (o, p, s), v in want.items() if v == "ALLOW" and p == "inspect" and o.startswith("machine")}
+    users = spark.createDataFrame([(f"person:{k}",) for k in range(7)], "s string")
+    own = {(r["object"], r["subject"]) for r in permissions.lookup_resources(df, schema, users, "machine", "inspect").collect()}
     assert own == viewers
 
 
 def test_depth(spark):
     schema = parse(MODEL)
-    rows = [make_tuple(f"folder:{k}", "parent", f"folder:{k + 1}") for k in range(40)] + [make_tuple("folder:29", "viewer", "user:near"), make_tuple("folder:40", "viewer", "user:far")]
-    rows += [make_tuple(f"group:{k}", "member", f"group:{k + 1}", "member") for k in range(60)] + [make_tuple("group:60", "member", "user:deep"), make_tuple("folder:0", "viewer", "group:0", "member")]
-    asked = [("folder:0", "view", f"user:{u}") for u in ("near", "far", "deep", "none")]
+    rows = [make_tuple(f"site:{k}", "part_of", f"site:{k + 1}") for k in range(40)] + [make_tuple("site:29", "guard", "person:near"), make_tuple("site:40", "guard", "person:far")]
+    rows += [make_tuple(f"crew:{k}", "hand", f"crew:{k + 1}", "hand") for k in range(60)] + [make_tuple("crew:60", "hand", "person:deep"), make_tuple("site:0", "guard", "crew:0", "hand")]
+    asked = [("site:0", "enter", f"person:{u}") for u in ("near", "far", "deep", "none")]
     got = {r["subject"]: r["status"] for r in permissions.check(spark.createDataFrame(rows, TUPLE), schema, spark.createDataFrame(asked, "o string, p string, s string")).collect()}
-    assert got == {"user:near": "ALLOW", "user:far": "DEPTH", "user:deep": "ALLOW", "user:none": "DEPTH"}
+    assert got == {"person:near": "ALLOW", "person:far": "DEPTH", "person:deep": "ALLOW", "person:none": "DEPTH"}
+
+
+def test_strange_kinds_among_many(spark):
+    many = spark.range(30_000).select(F.concat(F.lit("kind"), "id", F.lit(":1")).alias("o"), F.lit("enter").alias("p"), F.lit("person:1").alias("s"))
+    with pytest.raises(SchemaError):
+        permissions.check(permissions.empty(spark), parse(MODEL), many)
+    fine = spark.range(30_000).select(F.concat(F.lit("site:"), "id").alias("o"), F.lit("enter").alias("p"), F.lit("person:1").alias("s"))
+    with pytest.raises(SchemaError):
+        permissions.check(permissions.empty(spark), parse(MODEL), fine.unionAll(fine.limit(1).withColumn("s", F.lit("robot:1"))))
 
 
 def test_errors(spark):
     schema, tuples = random_tuples(0)
     df = spark.createDataFrame(tuples, TUPLE)
-    for q in (("planet:1", "view", "user:1"), ("folder:1", "fly", "user:1"), ("folder:1", "view", "robot:1"), ("folder", "view", "user:1"), ("folder:1", "view", "user")):
+    for q in (("planet:1", "enter", "person:1"), ("site:1", "fly", "person:1"), ("site:1", "enter", "robot:1"), ("site", "enter", "person:1"), ("site:1", "enter", "person")):
         with pytest.raises(SchemaError):
             permissions.check(df, schema, spark.createDataFrame([q], "o string, p string, s string"))
     with pytest.raises(SchemaError):
-        permissions.validate(spark.createDataFrame([make_tuple("folder:1", "viewer", "folder:2")], TUPLE), schema)
+        permissions.validate(spark.createDataFrame([make_tuple("site:1", "guard", "site:2")], TUPLE), schema)
     for name in ("x", ":x", "x:"):
         with pytest.raises(SchemaError):
-            make_tuple(name, "viewer", "user:1")
-    assert permissions.check(permissions.empty(spark), schema, spark.createDataFrame([("folder:1", "view", "user:1")], "o string, p string, s string")).first()["status"] == "DENY"
+            make_tuple(name, "guard", "person:1")
+    assert permissions.check(permissions.empty(spark), schema, spark.createDataFrame([("site:1", "enter", "person:1")], "o string, p string, s string")).first()["status"] == "DENY"
 
 
 def pairs_closed(edges):

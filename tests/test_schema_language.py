@@ -7,18 +7,18 @@ from tuplewright.plans.schema_language import Catalog, Subject, Term, digest, le
 
 GOOD = """
 schema 3 // a comment
-type user
-type group { relation member: user | group#member }
-type folder { relation parent: folder relation viewer: user | group#member permission view = viewer + parent->view }
+type sailor
+type watch { relation on_duty: sailor | watch#on_duty }
+type deck { relation below: deck relation keeper: watch#on_duty permission open = keeper + below->open }
 """
 
 
 def test_parse():
     s = parse(GOOD)
-    assert s.version == 3 and list(s.types) == ["user", "group", "folder"]
-    assert s.types["group"].relations["member"] == (Subject("user"), Subject("group", "member"))
-    assert s.types["folder"].permissions["view"] == (Term("viewer"), Term("view", "parent"))
-    assert s.tuplesets() == {("folder", "parent")}
+    assert s.version == 3 and list(s.types) == ["sailor", "watch", "deck"]
+    assert s.types["watch"].relations["on_duty"] == (Subject("sailor"), Subject("watch", "on_duty"))
+    assert s.types["deck"].permissions["open"] == (Term("keeper"), Term("open", "below"))
+    assert s.tuplesets() == {("deck", "below")}
 
 
 def test_canonical_form_round_trips():
@@ -81,9 +81,9 @@ def test_evolution():
 
 
 def test_becoming_a_link_is_guarded():
-    one = parse("schema 1 type f { relation parent: f relation viewer: f }")
-    two = parse("schema 2 type f { relation parent: f relation viewer: f permission view = viewer + parent->view }")
-    assert next_version(one, two) == {("f", "parent")}
+    one = parse("schema 1 type f { relation below: f relation keeper: f }")
+    two = parse("schema 2 type f { relation below: f relation keeper: f permission open = keeper + below->open }")
+    assert next_version(one, two) == {("f", "below")}
 
 
 def test_damaged_text_never_crashes():

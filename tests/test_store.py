@@ -19,8 +19,8 @@ from tuplewright.streaming import feeds
 
 MODEL = """schema 1
 type user
-type group { relation member: user | group#member }
-type document { relation viewer: user | group#member relation editor: user permission view = viewer + editor }
+type team { relation staff: user | team#staff }
+type document { relation viewer: user | team#staff relation editor: user permission view = viewer + editor }
 """
 
 
@@ -34,19 +34,19 @@ def test_write_check_and_travel(spark, path):
         with pytest.raises(SchemaError):
             s.add_tuple("document:a", "viewer", "user:x")
         s.apply_schema(MODEL)
-        first = s.write(Transaction().add("document:a", "viewer", "group:g", "member").add("group:g", "member", "user:ann").add("document:a", "editor", "user:bob"))
+        first = s.write(Transaction().add("document:a", "viewer", "team:g", "staff").add("team:g", "staff", "user:ann").add("document:a", "editor", "user:bob"))
         assert s.check("document:a", "view", "user:ann", at_least=first) and s.check("document:a", "view", "user:bob")
         assert not s.check("document:a", "view", "user:nobody")
-        assert s.add_tuple("group:g", "member", "user:ann") == first
-        assert s.remove_tuple("group:g", "member", "user:zoe") == first
+        assert s.add_tuple("team:g", "staff", "user:ann") == first
+        assert s.remove_tuple("team:g", "staff", "user:zoe") == first
         between = datetime.now(UTC)
-        second = s.remove_tuple("group:g", "member", "user:ann")
+        second = s.remove_tuple("team:g", "staff", "user:ann")
         assert second > first and not s.check("document:a", "view", "user:ann")
         assert s.as_of(first).check("document:a", "view", "user:ann")
         past = s.as_of(between)
         assert past.check("document:a", "view", "user:ann") and past.commit_time() is not None
         s.checkpoint()
-        third = s.add_tuple("group:g", "member", "user:cy")
+        third = s.add_tuple("team:g", "staff", "user:cy")
         assert s.check("document:a", "view", "user:cy")
         past.advance(third)
         assert not past.check("document:a", "view", "user:ann") and past.check("document:a", "view", "user:cy")
@@ -61,7 +61,7 @@ def test_write_check_and_travel(spark, path):
         assert {r["subject"] for r in s.lookup_subjects("document:a", "view", "user").collect()} == {"user:cy", "user:bob"}
         assert {r["object"] for r in s.lookup_resources("user:cy", "document", "view").collect()} == {"document:a"}
     with pytest.raises(ClosedError):
-        s.add_tuple("group:g", "member", "user:q")
+        s.add_tuple("team:g", "staff", "user:q")
 
 
 def test_reopen_and_take_over(spark, path):
@@ -75,9 +75,9 @@ def test_reopen_and_take_over(spark, path):
     with pytest.raises(SchemaError):
         new.apply_schema(MODEL)
     with pytest.raises(SchemaError):
-        new.apply_schema(MODEL.replace("schema 1", "schema 2").replace("relation viewer: user | group#member ", "").replace("viewer + ", ""))
+        new.apply_schema(MODEL.replace("schema 1", "schema 2").replace("relation viewer: user | team#staff ", "").replace("viewer + ", ""))
     new.remove_tuple("document:a", "viewer", "user:ann")
-    new.apply_schema(MODEL.replace("schema 1", "schema 2").replace("relation viewer: user | group#member ", "").replace("viewer + ", ""))
+    new.apply_schema(MODEL.replace("schema 1", "schema 2").replace("relation viewer: user | team#staff ", "").replace("viewer + ", ""))
     with pytest.raises(SchemaError):
         new.add_tuple("document:a", "viewer", "user:ann")
 
@@ -100,19 +100,19 @@ def test_changes_are_whole_transactions(spark, path):
 def test_erasure(spark, path):
     s = Store(spark, path)
     s.apply_schema(MODEL)
-    before = s.write(Transaction().add("document:a", "viewer", "user:ann").add("group:g", "member", "user:ann").add("group:g", "member", "user:bob"))
+    before = s.write(Transaction().add("document:a", "viewer", "user:ann").add("team:g", "staff", "user:ann").add("team:g", "staff", "user:bob"))
     s.checkpoint()
     assert s.erase("user:nobody") == s.token()
     with pytest.raises(SchemaError):
         s.erase("user")
     token = s.erase("user:ann")
-    assert not s.check("document:a", "view", "user:ann") and s.check("group:g", "member", "user:bob")
+    assert not s.check("document:a", "view", "user:ann") and s.check("team:g", "staff", "user:bob")
     assert erasure.leaks(s.log(), "user:ann").count() == 0
     assert s.log().where("subject_type = 'erased'").count() >= 2
     with pytest.raises(HistoryExpiredError):
         s.as_of(before)
     s.add_tuple("document:a", "viewer", "user:ann")
-    assert s.check("document:a", "view", "user:ann") and s.as_of(token).check("group:g", "member", "user:bob")
+    assert s.check("document:a", "view", "user:ann") and s.as_of(token).check("team:g", "staff", "user:bob")
 
 
 def test_load_restore_and_retention(spark, path, tmp_path):
@@ -300,3 +300,25 @@ def test_hash_key(spark):
     for bad, error in ((True, TypeError), (1.5, TypeError), (2**63, ValueError)):
         with pytest.raises(error):
             hash_key(bad)
+
+
+def test_lake_triggers(spark, tmp_path, monkeypatch):
+    columns = {"amount": "int64", "label": "utf8"}
+    t = LakeTable(spark, f"file://{tmp_path}/bytes", columns, flush_bytes=1000)
+    t.upsert(1, amount=1, label="x" * 500)
+    assert t.entries == [] and t.waiting == 1
+    t.upsert(2, amount=1, label="x" * 500)
+    assert t.entries == [1] and (t.waiting, t.bytes) == (0, 0)
+    now = [100.0]
+    monkeypatch.setattr("tuplewright.sources.lake_table.time.monotonic", lambda: now[0])
+    t = LakeTable(spark, f"file://{tmp_path}/seconds", columns, flush_seconds=60)
+    t.upsert(1, amount=1, label="a")
+    t.delete(1)
+    now[0] = 161.0
+    t.upsert(2, amount=2, label="b")
+    assert t.entries == [1] and [(r["key_hash"], r["amount"]) for r in t.rows().collect()] == [(2, 2)]
+    with pytest.raises(KeyError):
+        t.upsert_from([(3, {"amount": 1, "label": "c"}), (4, {"amount": 1})])
+    assert t.get(3) is None
+    with pytest.raises(ValueError):
+        t.upsert_columns([1, 2], {"amount": [1], "label": ["a", "b"]})

@@ -20,6 +20,8 @@ from ..plans.schema_language import Schema, Subject
 
 #: Frames on a path, the question's own included.
 LIMIT = 32
+#: Steps of a walk between two checkpoints.
+STEPS = 4
 
 
 def _object(kind: str, rest: str):
@@ -102,7 +104,7 @@ def walk(edges: DataFrame, starts: DataFrame, limit: int = LIMIT) -> tuple[DataF
 
 
 def _walk(e: DataFrame, starts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Rounds of two steps: what the first found is walked on at once, what the second found waits for the next round."""
+    """Rounds of STEPS steps: what a step found is walked on at once, what the last found waits for the next round."""
 
     def step(rows: DataFrame) -> DataFrame:
         on = rows.select(F.col("start").alias("s"), F.col("node").alias("n"), F.col("frames").alias("f")).join(e, F.col("n") == F.col("src"))
@@ -112,12 +114,15 @@ def _walk(e: DataFrame, starts: DataFrame, limit: int) -> tuple[DataFrame, DataF
     fresh, cut, rounds = found, None, 0
     while not fresh.isEmpty():
         rounds += 1
-        one = step(fresh)
-        both = one.withColumn("waits", F.lit(0)).unionByName(step(one.where(F.col("frames") <= limit)).withColumn("waits", F.lit(1)))
+        one, both = fresh, None
+        for k in range(1, STEPS + 1):
+            one = step(one.where(F.col("frames") <= limit))
+            own = one.withColumn("waits", F.lit(int(k == STEPS)))
+            both = own if both is None else both.unionByName(own)
         both = both.groupBy("start", "node").agg(F.min(F.struct("frames", "waits")).alias("x")).select("start", "node", "x.frames", "x.waits")
         no_better = (F.col("start") == F.col("os")) & (F.col("node") == F.col("on")) & (F.col("of") <= F.col("frames"))
         better = durable(both.join(found.toDF("os", "on", "of"), no_better, "left_anti"))
-        if 2 * rounds >= limit:  # a round adds two frames at most
+        if STEPS * rounds >= limit:  # a round adds STEPS frames at most
             over = better.where(F.col("frames") > limit).select("start")
             cut = over if cut is None else cut.union(over)
         within = better.where(F.col("frames") <= limit)
@@ -148,9 +153,15 @@ def check(tuples: DataFrame, schema: Schema, questions: DataFrame, limit: int =
 
 
 def _known(asked: DataFrame, schema: Schema) -> None:
-    """The kinds of question are few: distinct (type, permission) pairs and subject types."""
+    """Every kind of question is held against the schema's own pairs; the first strange one is told."""
+    spark = asked.sparkSession
     kind = lambda c: F.when(F.col(c).rlike("(?s)^[^:]+:.+"), F.substring_index(c, ":", 1))
-    for r in asked.select(kind("object").alias("o"), "permission", kind("subject").alias("s")).distinct().limit(10_000).collect():
+    pairs = [(x.name, d) for x in schema.types.values() for d in (*x.relations, *x.permissions)]
+    pairs = F.broadcast(spark.createDataFrame(pairs or [("", "")], "_type string, _name string"))
+    types = F.broadcast(spark.createDataFrame([(x,) for x in schema.types] or [("",)], "_subject string"))
+    kinds = asked.select(kind("object").alias("o"), "permission", kind("subject").alias("s")).distinct()
+    strange = kinds.join(pairs, (F.col("o") == F.col("_type")) & (F.col("permission") == F.col("_name")), "left").join(types, F.col("s") == F.col("_subject"), "left")
+    for r in strange.where("_type is null or _subject is null").limit(1).collect():
         if r["o"] is None or r["s"] is None or r["permission"] is None:
             raise SchemaError("a question needs names of the form type:id")
         schema.define(r["o"], r["permission"])

@@ -49,17 +49,19 @@ def _unrolled(e: DataFrame, found: DataFrame, max_depth: int) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) of all pairs joined by a path of one or more edges; paths double each round."""
+    """(src, dst) of all pairs joined by a path of one or more edges.
+
+    Paths double each round, and only the last round's pairs are joined: a shortest path of over L and at most 2 L edges is
+    one of exactly L, found in the last round, and one of at most L.
+    """
     found = durable(edges.toDF("src", "dst").where("src is not null and dst is not null").distinct())
-    before = found.count()
-    while True:
-        second = found.toDF("m", "far")
-        twice = found.join(second, F.col("dst") == F.col("m")).select("src", F.col("far").alias("dst"))
-        found = durable(found.unionByName(twice).distinct())
-        now = found.count()
-        if now == before:
-            return found
-        before = now
+    fresh = found
+    while not fresh.isEmpty():
+        second, old = found.toDF("m", "far"), found.toDF("os", "od")
+        twice = fresh.join(second, F.col("dst") == F.col("m")).select("src", F.col("far").alias("dst")).distinct()
+        fresh = durable(twice.join(old, (F.col("src") == F.col("os")) & (F.col("dst") == F.col("od")), "left_anti"))
+        found = durable(found.unionByName(fresh))
+    return found
 
 
 def closure_after_insert(closed: DataFrame, new: DataFrame) -> DataFrame:

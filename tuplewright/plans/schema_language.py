@@ -1,12 +1,9 @@
 """The permission schema language: text to rules, and rules to rows.
 
     schema 1
-    type user
-    type group { relation member: user | group#member }
-    type document {
-      relation parent: folder
-      permission view = viewer + parent->view
-    }
+    type sailor
+    type watch { relation on_duty: sailor | watch#on_duty }
+    type deck { relation below: deck relation keeper: watch#on_duty permission open = keeper + below->open }
 
 Permissions are unions of terms: a name of the same type, or relation->name, asked of what the relation's plain
 subjects reach. Comments run from // to the end of the line.

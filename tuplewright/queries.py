@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,11 @@ from . import fixtures as X
 from .functions.names import hash_text, id_of, joined, type_of
 from .operators import erasure, graph, history, lake, permissions
 from .plans import fixpoint
-from .plans.durable import durable
+from .plans.durable import checkpoint_folder, durable
 from .plans.schema_language import digest, parse
+from .sources.lake_table import LakeTable
+from .store import Store, Transaction, restore
+from .streaming import feeds
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,7 +91,7 @@ def _(spark, rel):
     return graph.in_degrees(rel(X.EDGES), rel(_NODES))
 
 
-_COMMON = X.oracle(e=X.EDGES, p=_NEXT) + ", j AS (SELECT u, v, a.dst AS neighbor FROM p JOIN e a ON a.src = u JOIN e b ON b.src = v AND b.dst = a.dst) "
+_COMMON = X.oracle(e=X.EDGES, p=_NEXT) + ", j AS (SELECT u, v, dst AS neighbor FROM p JOIN e ON src = u WHERE (v, dst) IN (SELECT (src, dst) FROM e)) "
 
 
 @query("g4_common_neighbors", _COMMON + "SELECT * FROM j")
@@ -160,35 +164,54 @@ def _(spark, rel):
 
 _T = X.oracle(t=X.TUPLES)
 _VIEW = """, members(g, u) AS (
-  SELECT object_id, subject_id FROM t WHERE object_type = 'group' AND subject_relation = ''
-  UNION SELECT t.object_id, m.u FROM t JOIN members m ON m.g = t.subject_id WHERE t.object_type = 'group' AND t.subject_relation = 'member'),
+  SELECT object_id, subject_id FROM t WHERE object_type = 'territory' AND subject_relation = ''
+  UNION SELECT t.object_id, m.u FROM t JOIN members m ON m.g = t.subject_id WHERE t.object_type = 'territory' AND t.subject_relation = 'resident'),
 up(d, ot, oi) AS (
-  SELECT DISTINCT object_id, object_type, object_id FROM t WHERE object_type = 'document'
-  UNION SELECT up.d, t.subject_type, t.subject_id FROM up JOIN t ON t.object_type = up.ot AND t.object_id = up.oi AND t.relation = 'parent'),
-grants AS (SELECT DISTINCT up.d, t.subject_type, t.subject_id, t.subject_relation FROM up JOIN t ON t.object_type = up.ot AND t.object_id = up.oi AND t.relation = 'viewer'),
+  SELECT DISTINCT object_id, object_type, object_id FROM t WHERE object_type = 'order'
+  UNION SELECT up.d, t.subject_type, t.subject_id FROM up JOIN t ON t.object_type = up.ot AND t.object_id = up.oi AND t.relation IN ('listed', 'within')),
+grants AS (SELECT DISTINCT up.d, t.subject_type, t.subject_id, t.subject_relation FROM up JOIN t ON t.object_type = up.ot AND t.object_id = up.oi AND t.relation IN ('buyer', 'steward', 'audience')),
 viewers AS (
   SELECT d, subject_id AS u FROM grants WHERE subject_relation = ''
-  UNION SELECT d, m.u FROM grants JOIN members m ON m.g = grants.subject_id WHERE subject_relation = 'member')"""
+  UNION SELECT d, m.u FROM grants JOIN members m ON m.g = grants.subject_id WHERE subject_relation = 'resident')"""
 
-_BAD = X.TUPLES + " UNION ALL SELECT 'document', r_name, 'viewer', 'folder', 'p1', '' FROM {region} UNION ALL SELECT 'planet', r_name, 'viewer', 'user', 'c1', '' FROM {region} UNION ALL SELECT 'folder', r_name, 'viewer', 'group', 'n1', '' FROM {region}"
+_BAD = X.TUPLES + " UNION ALL SELECT 'order', r_name, 'buyer', 'catalog', 'p1', '' FROM {region} UNION ALL SELECT 'planet', r_name, 'audience', 'customer', 'c1', '' FROM {region} UNION ALL SELECT 'catalog', r_name, 'audience', 'territory', 'n1', '' FROM {region}"
 
 
-@query("z4_schema_rules", "SELECT * FROM (VALUES ('folder', 'view', 'viewer', ''), ('folder', 'view', 'view', 'parent'), ('document', 'view', 'viewer', ''), ('document', 'view', 'view', 'parent')) v(type, permission, name, through)")
+@query("z4_schema_rules", "SELECT * FROM (VALUES ('catalog', 'browse', 'audience', ''), ('catalog', 'browse', 'steward', ''), ('catalog', 'browse', 'browse', 'within'), ('order', 'track', 'buyer', ''), ('order', 'track', 'browse', 'listed')) v(type, permission, name, through)")
 def _(spark, rel):
     return spark.createDataFrame(parse(X.MODEL).rule_rows(), "type string, permission string, name string, through string")
 
 
-@query("z7_schema_digest")
+_CANONICAL = """schema 1
+type catalog {
+  relation audience: customer | territory#resident
+  relation steward: customer
+  relation within: catalog
+  permission browse = audience + steward + within->browse
+}
+type customer
+type order {
+  relation buyer: customer
+  relation listed: catalog
+  permission track = buyer + listed->browse
+}
+type territory {
+  relation resident: customer | territory#resident
+}
+"""
+
+
+@query("z7_schema_digest", f"SELECT sha256('{_CANONICAL}') AS digest")
 def _(spark, rel):
     return spark.createDataFrame([(digest(parse(X.MODEL)),)], "digest string")
 
 
-@query("z5_guarded_tuples", _T + " SELECT * FROM t WHERE object_type = 'folder' AND relation = 'parent'")
+@query("z5_guarded_tuples", _T + " SELECT * FROM t WHERE object_type = 'catalog' AND relation = 'within'")
 def _(spark, rel):
-    return permissions.blocked_changes(rel(X.TUPLES), {("folder", "parent")}).drop("ot", "r")
+    return permissions.blocked_changes(rel(X.TUPLES), {("catalog", "within")}).drop("ot", "r")
 
 
-@query("z8_violations", X.oracle(t=_BAD) + " SELECT * FROM t WHERE NOT ((object_type = 'group' AND relation = 'member' AND ((subject_type = 'user' AND subject_relation = '') OR (subject_type = 'group' AND subject_relation = 'member'))) OR (object_type IN ('folder', 'document') AND relation = 'parent' AND subject_type = 'folder' AND subject_relation = '') OR (object_type IN ('folder', 'document') AND relation = 'viewer' AND ((subject_type = 'user' AND subject_relation = '') OR (subject_type = 'group' AND subject_relation = 'member'))))")
+@query("z8_violations", X.oracle(t=_BAD) + " SELECT * FROM t WHERE NOT ((subject_type = 'customer' AND subject_relation = '' AND (object_type, relation) IN (('territory', 'resident'), ('catalog', 'steward'), ('catalog', 'audience'), ('order', 'buyer'))) OR (subject_type = 'territory' AND subject_relation = 'resident' AND (object_type, relation) IN (('territory', 'resident'), ('catalog', 'audience'))) OR (subject_type = 'catalog' AND subject_relation = '' AND (object_type, relation) IN (('catalog', 'within'), ('order', 'listed'))))")
 def _(spark, rel):
     return permissions.violations(rel(_BAD), parse(X.MODEL))
 
@@ -201,28 +224,30 @@ def _(spark, rel):
 @query(
     "z14_frame_edges",
     _T
-    + """, o AS (SELECT object_type AS ty, object_id AS id FROM t UNION SELECT subject_type, subject_id FROM t)
+    + """, o AS (SELECT object_type AS ty, object_id AS id FROM t UNION SELECT subject_type, subject_id FROM t),
+k(ty, permission, name) AS (VALUES ('catalog', 'browse', 'audience'), ('catalog', 'browse', 'steward'), ('order', 'track', 'buyer'))
 SELECT DISTINCT object_type || ':' || object_id || '#' || relation AS src, subject_type || ':' || subject_id || '#' || subject_relation AS dst, 0 AS cost FROM t WHERE subject_relation <> ''
-UNION ALL SELECT ty || ':' || id || '#view', ty || ':' || id || '#viewer', 1 FROM o WHERE ty IN ('folder', 'document')
-UNION ALL SELECT DISTINCT object_type || ':' || object_id || '#view', subject_type || ':' || subject_id || '#view', 1 FROM t WHERE relation = 'parent'""",
+UNION ALL SELECT o.ty || ':' || id || '#' || permission, o.ty || ':' || id || '#' || name, 1 FROM o JOIN k ON k.ty = o.ty
+UNION ALL SELECT DISTINCT object_type || ':' || object_id || CASE WHEN relation = 'within' THEN '#browse' ELSE '#track' END, subject_type || ':' || subject_id || '#browse', 1 FROM t WHERE relation IN ('within', 'listed')""",
 )
 def _(spark, rel):
     return permissions.frame_edges(rel(X.TUPLES), parse(X.MODEL))
 
 
 _QUESTIONS = """
-SELECT 'document:o' || CAST(o_orderkey AS STRING) AS object, 'view' AS permission, 'user:c' || CAST(o_custkey AS STRING) AS subject FROM {orders}
-UNION SELECT 'document:o' || CAST(o_orderkey AS STRING), 'view', 'user:c' || CAST(o_custkey + 1 AS STRING) FROM {orders}
-UNION SELECT 'document:o' || CAST(o_orderkey AS STRING), 'view', 'user:nobody' FROM {orders}
+SELECT 'order:o' || CAST(o_orderkey AS STRING) AS object, 'track' AS permission, 'customer:c' || CAST(o_custkey AS STRING) AS subject FROM {orders}
+UNION SELECT 'order:o' || CAST(o_orderkey AS STRING), 'track', 'customer:c' || CAST(o_custkey + 1 AS STRING) FROM {orders}
+UNION SELECT 'order:o' || CAST(o_orderkey AS STRING), 'track', 'customer:nobody' FROM {orders}
 """
+_ANSWER = _VIEW + " SELECT q.object, q.permission, q.subject, CASE WHEN v.u IS NULL THEN 'DENY' ELSE 'ALLOW' END AS status FROM q LEFT JOIN viewers v ON q.object = 'order:' || v.d AND q.subject = 'customer:' || v.u"
 
 
-@query("z15_check", X.oracle(t=X.TUPLES, q=_QUESTIONS) + _VIEW + " SELECT q.object, q.permission, q.subject, CASE WHEN v.u IS NULL THEN 'DENY' ELSE 'ALLOW' END AS status FROM q LEFT JOIN viewers v ON q.object = 'document:' || v.d AND q.subject = 'user:' || v.u")
+@query("z15_check", X.oracle(t=X.TUPLES, q=_QUESTIONS) + _ANSWER)
 def _(spark, rel):
     return permissions.check(durable(rel(X.TUPLES)), parse(X.MODEL), rel(_QUESTIONS))
 
 
-@query("z15_check_cyclic", X.oracle(t=X.CYCLIC, q=_QUESTIONS) + _VIEW + " SELECT q.object, q.permission, q.subject, CASE WHEN v.u IS NULL THEN 'DENY' ELSE 'ALLOW' END AS status FROM q LEFT JOIN viewers v ON q.object = 'document:' || v.d AND q.subject = 'user:' || v.u")
+@query("z15_check_cyclic", X.oracle(t=X.CYCLIC, q=_QUESTIONS) + _ANSWER)
 def _(spark, rel):
     return permissions.check(durable(rel(X.CYCLIC)), parse(X.MODEL), rel(_QUESTIONS))
 
@@ -258,23 +283,104 @@ def _(spark, rel):
     return rel(X.RECORDS).select("lsn", type_of(F.col("object")).alias("type"), id_of(F.col("object")).alias("id"))
 
 
-@query("z22_viewers", _T + _VIEW + " SELECT 'document:' || d AS object, count(*) AS viewers FROM viewers GROUP BY d")
+@query("z22_viewers", _T + _VIEW + " SELECT 'order:' || d AS object, count(*) AS viewers FROM viewers GROUP BY d")
 def _(spark, rel):
     t = durable(rel(X.TUPLES))
-    documents = t.where("object_type = 'document'").select(joined(F.col("object_type"), F.col("object_id")).alias("object")).distinct()
-    return permissions.lookup_subjects(t, parse(X.MODEL), documents, "view", "user").groupBy("object").agg(F.count("*").alias("viewers"))
+    orders = t.where("object_type = 'order'").select(joined(F.col("object_type"), F.col("object_id")).alias("object")).distinct()
+    return permissions.lookup_subjects(t, parse(X.MODEL), orders, "track", "customer").groupBy("object").agg(F.count("*").alias("viewers"))
 
 
-@query("z22_audit_of_one", X.oracle(t=X.CYCLIC) + _VIEW + " SELECT 'document:' || d AS object, 'user:' || u AS subject FROM viewers WHERE d = 'o7'")
+@query("z22_audit_of_one", X.oracle(t=X.CYCLIC) + _VIEW + " SELECT 'order:' || d AS object, 'customer:' || u AS subject FROM viewers WHERE d = 'o7'")
 def _(spark, rel):
     t = durable(rel(X.CYCLIC))
-    return permissions.lookup_subjects(t, parse(X.MODEL), spark.createDataFrame([("document:o7",)], "object string"), "view", "user")
+    return permissions.lookup_subjects(t, parse(X.MODEL), spark.createDataFrame([("order:o7",)], "object string"), "track", "customer")
+
+
+@query("z22_resources", _T + _VIEW + " SELECT 'customer:' || u AS subject, count(*) AS orders FROM viewers GROUP BY u")
+def _(spark, rel):
+    customers = rel("SELECT 'customer:c' || CAST(c_custkey AS STRING) AS s FROM {customer}")
+    return permissions.lookup_resources(durable(rel(X.TUPLES)), parse(X.MODEL), customers, "order", "track").groupBy("subject").agg(F.count("*").alias("orders"))
+
+
+# The store, in a new folder each time
+
+
+def _loaded(spark, rel) -> Store:
+    store = Store(spark)
+    store.apply_schema(X.MODEL)
+    store.load(rel(X.TUPLES))
+    return store
+
+
+_GIVEN = ("order:o7", "buyer", "customer:late")
+_CHANGED = " SELECT * FROM (SELECT * FROM t UNION SELECT 'order', 'o7', 'buyer', 'customer', 'late', '') EXCEPT SELECT * FROM t WHERE object_id = 'r1' AND subject_id = 'n1'"
+
+
+def _change(store: Store):
+    return store.write(Transaction().add(*_GIVEN).remove("territory:r1", "resident", "territory:n1", "resident"))
 
 
-@query("z22_resources", _T + _VIEW + " SELECT 'user:' || u AS subject, 'document:' || d AS object FROM viewers WHERE u IN ('c1', 'c2', 'c3')")
+@query("m7_bulk_load", _T + " SELECT DISTINCT * FROM t")
 def _(spark, rel):
-    users = spark.createDataFrame([(f"user:c{k}",) for k in (1, 2, 3)], "s string")
-    return permissions.lookup_resources(durable(rel(X.TUPLES)), parse(X.MODEL), users, "document", "view")
+    return _loaded(spark, rel).tuples()
+
+
+@query("z9_write", _T + _CHANGED)
+def _(spark, rel):
+    store = _loaded(spark, rel)
+    _change(store)
+    return store.tuples()
+
+
+@query("s6_checkpoint", _T + _CHANGED)
+def _(spark, rel):
+    store = _loaded(spark, rel)
+    at = store.checkpoint()
+    _change(store)
+    assert max(store.checkpoints()) == at.lsn  # the read starts there
+    return store.tuples()
+
+
+@query("s28_restore", _T + " SELECT DISTINCT * FROM t")
+def _(spark, rel):
+    store = _loaded(spark, rel)
+    store.checkpoint()
+    at = store.token()
+    _change(store)
+    target = f"{store.folder.path}-copy"
+    restore(spark, store.folder.path, target, at.lsn)
+    return Store(spark, target).tuples()
+
+
+@query("l8_advance", _T + _CHANGED.replace("SELECT * FROM (", "SELECT *, 'then' AS at FROM (", 1).replace("EXCEPT SELECT *", "EXCEPT SELECT *, 'then'", 1) + " UNION ALL SELECT DISTINCT *, 'first' FROM t")
+def _(spark, rel):
+    store = _loaded(spark, rel)
+    past = store.as_of(store.token())
+    first = durable(past.tuples()).withColumn("at", F.lit("first"))
+    past.advance(_change(store))
+    return past.tuples().withColumn("at", F.lit("then")).unionByName(first)
+
+
+@query("z20_at_least", X.oracle(q=_QUESTIONS) + " SELECT 'order:o7' AS object, 'track' AS permission, 'customer:late' AS subject, 'ALLOW' AS status")
+def _(spark, rel):
+    store = _loaded(spark, rel)
+    return store.check_many(spark.createDataFrame([("order:o7", "track", "customer:late")], "o string, p string, s string"), _change(store))
+
+
+@query("l16_follower_gate", _T + _CHANGED)
+def _(spark, rel):
+    store = _loaded(spark, rel)
+    follower = feeds.Follower(spark, store.folder.at("log"), f"{store.folder.path}-follower")
+    follower.gate(_change(store))
+    return follower.tuples()
+
+
+@query("e3_erased_history", _T + " SELECT DISTINCT object_type, object_id, relation, CASE WHEN subject_type || ':' || subject_id = 'customer:c7' THEN 'erased' ELSE subject_type END AS subject_type FROM t")
+def _(spark, rel):
+    store = _loaded(spark, rel)
+    store.erase("customer:c7")
+    assert store._mentions("customer:c7").isEmpty()
+    return store.log().where("event = 'add'").select("object_type", "object_id", "relation", "subject_type").distinct()
 
 
 # The log
@@ -336,10 +442,8 @@ _MEMBERS = "SELECT DISTINCT 'group:g' || CAST(CAST(floor(value) AS BIGINT) % 20
     + f", a AS ({_LAST.format('l', 500)}), b AS ({_LAST.format('l', POSITION)}), w AS (SELECT q.*, EXISTS (SELECT 1 FROM a WHERE q.object = 'group:' || a.object_id AND q.subject = 'user:' || a.subject_id) AS was, EXISTS (SELECT 1 FROM b WHERE q.object = 'group:' || b.object_id AND q.subject = 'user:' || b.subject_id) AS allowed FROM q) SELECT object, permission, subject, allowed FROM w WHERE was <> allowed",
 )
 def _(spark, rel):
-    from .streaming.feeds import watch_access
-
     log = durable(rel(X.LOG))
-    return watch_access(history.replay(log, 500), history.replay(log, POSITION), parse(_GROUPS), rel(_MEMBERS))
+    return feeds.watch_access(history.replay(log, 500), history.replay(log, POSITION), parse(_GROUPS), rel(_MEMBERS))
 
 
 @query("l14_stats", _L + " SELECT epoch, count(*) AS rows, count(DISTINCT txn_lsn) AS transactions, min(lsn) AS first_lsn, max(txn_lsn) AS last_txn_lsn, count(*) FILTER (event = 'add') AS adds, count(*) FILTER (event = 'remove') AS removes FROM l GROUP BY epoch")
@@ -389,15 +493,18 @@ def _(spark, rel):
 
 @query("s24_projection", _L + " SELECT strftime(commit_ts, '%Y-%m-%d') AS commit_day, count(*) AS rows, min(lsn) AS first_lsn, max(lsn) AS last_lsn FROM l GROUP BY 1")
 def _(spark, rel):
-    return rel(X.LOG).groupBy(F.date_format("commit_ts", "yyyy-MM-dd").alias("commit_day")).agg(F.count("*").alias("rows"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))
+    folder = f"{checkpoint_folder(spark)}/projection-{uuid.uuid4().hex}"
+    rel(X.LOG).write.parquet(f"{folder}/log")
+    feeds.project(spark, f"{folder}/log", f"{folder}/table", f"{folder}/progress").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").groupBy(F.col("commit_day").cast("string").alias("commit_day")).agg(F.count("*").alias("rows"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))
 
 
 # Erasure
 
 
-@query("e1_erase_tuples", _T + " SELECT DISTINCT * FROM t WHERE (object_type = 'user' AND object_id = 'c7') OR (subject_type = 'user' AND subject_id = 'c7')")
+@query("e1_erase_tuples", _T + " SELECT DISTINCT * FROM t WHERE (object_type = 'customer' AND object_id = 'c7') OR (subject_type = 'customer' AND subject_id = 'c7')")
 def _(spark, rel):
-    return erasure.tuples_of(rel(X.TUPLES), "user:c7")
+    return erasure.tuples_of(rel(X.TUPLES), "customer:c7")
 
 
 @query("e2_pseudonyms", f"SELECT 'user:c' || c_custkey AS name, 'erased:' || substr(sha256('{SALT.decode()}' || 'user:c' || c_custkey), 1, 16) AS alias FROM customer")
@@ -482,6 +589,52 @@ def _(spark, rel):
     return lake.compact(*lake.entries(rel(X.OPERATIONS)), 99)
 
 
+def _table(spark, **options) -> LakeTable:
+    return LakeTable(spark, f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}", {"amount": "int64", "label": "utf8"}, **options)
+
+
+_SALES = "SELECT CAST(o_orderkey % 700 AS BIGINT) AS key, CAST(o_custkey AS BIGINT) AS amount, o_orderstatus AS label, CAST(o_orderkey AS BIGINT) AS seen FROM {orders}"
+_LATEST = X.oracle(o=_SALES) + " SELECT arg_max(amount, seen) AS amount, arg_max(label, seen) AS label, key AS key_hash FROM o GROUP BY key"
+
+
+@query("k3_upsert_from", X.oracle(c="SELECT c_custkey, c_mktsegment FROM {customer}") + " SELECT CAST(c_custkey % 1000 AS BIGINT) AS key_hash, arg_max(CAST(c_custkey AS BIGINT), c_custkey) AS amount, arg_max(c_mktsegment, c_custkey) AS label FROM c GROUP BY 1")
+def _(spark, rel):
+    pairs = rel("SELECT CAST(c_custkey AS BIGINT) AS k, c_mktsegment AS s FROM {customer} ORDER BY c_custkey").toLocalIterator()  # pairs of a program
+    table = _table(spark)
+    table.upsert_from(((r["k"] % 1000, {"amount": r["k"], "label": r["s"]}) for r in pairs), batch=400)
+    return table.rows().drop("entry")
+
+
+@query("k4_upsert_columns", X.oracle(n="SELECT n_nationkey, n_name FROM {nation}") + " SELECT CAST(n_nationkey AS BIGINT) AS key_hash, CAST(n_nationkey * 3 AS BIGINT) AS amount, n_name AS label FROM n")
+def _(spark, rel):
+    rows = rel("SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS s FROM {nation}").collect()  # columns of a program
+    table = _table(spark)
+    table.upsert_columns([r["k"] for r in rows], {"amount": [r["k"] * 3 for r in rows], "label": [r["s"] for r in rows]})
+    return table.rows().drop("entry")
+
+
+@query("k4_upsert_table", _LATEST)
+def _(spark, rel):
+    table = _table(spark)
+    table.upsert_table(rel(_SALES), "key", "seen")
+    return table.rows().drop("entry")
+
+
+@query("k10_flush", _LATEST)
+def _(spark, rel):
+    table = _table(spark)
+    table.upsert_table(rel(_SALES), "key", "seen")
+    table.flush()
+    return LakeTable(spark, table.folder.path, {"amount": "int64", "label": "utf8"}).rows().drop("entry")
+
+
+@query("k11_flush_by_rows", "SELECT CAST(3 AS BIGINT) AS entries, CAST(500 AS BIGINT) AS keys, CAST(2 AS BIGINT) AS waiting FROM (SELECT count(*) FROM orders)")
+def _(spark, rel):
+    table = _table(spark, flush_rows=166)
+    table.upsert_from(((k, {"amount": k, "label": "x"}) for k in range(500)), batch=83)
+    return spark.createDataFrame([(len(table.entries), table.rows().count(), table.waiting)], "entries long, keys long, waiting long")
+
+
 @query("k14_statistics", X.oracle(o=X.OPERATIONS) + " SELECT 'amount' AS name, count(*) AS rows, 0 AS nulls, CAST(min(amount) AS VARCHAR) AS low, CAST(max(amount) AS VARCHAR) AS high FROM o UNION ALL SELECT 'label', count(*), 0, min(label), max(label) FROM o")
 def _(spark, rel):
     return lake.statistics(rel(X.OPERATIONS).select("amount", "label"))

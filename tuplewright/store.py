@@ -115,19 +115,25 @@ class Reader:
     def as_of(self, when: Token | datetime) -> Past:
         return Past(self, when)
 
-    def changes(self, after: Token | None = None, limit: int = 1000) -> tuple[list, Token]:
-        """Whole transactions behind a token, with names as they read now, and the token to go on from."""
+    def changes_table(self, after: Token | None = None, limit: int = 1000) -> tuple[DataFrame, Token]:
+        """Whole transactions behind a token, with names as they read now, and the token to go on from. A bulk load is one
+        transaction, whatever limit says, so its rows stay in a table."""
+        log = self.log()
         if after is not None:
             current = self.token()
             if after.epoch > current.epoch:
-                return [], after
+                return log.limit(0), after
             token_position(after, self.tenures(), max(after, current))
             if after.lsn < self.kept_from():
                 raise HistoryExpiredError(f"{after} is older than what is kept")
-        log = self.log()
         rows, at = history.changes(log, after.lsn if after else 0, limit)
-        found = rows.orderBy("txn_lsn", "lsn").collect()
-        return found, Token(found[-1]["epoch"], at) if found else after or Token(0, 0)
+        last = rows.agg(F.max_by("epoch", "lsn")).first()[0]
+        return rows, Token(last, at) if last is not None else after or Token(0, 0)
+
+    def changes(self, after: Token | None = None, limit: int = 1000) -> tuple[list, Token]:
+        """The same as a list in order; for logs that hold bulk loads take changes_table."""
+        rows, token = self.changes_table(after, limit)
+        return rows.orderBy("txn_lsn", "lsn").collect(), token
 
     def watch(self, after: Token | None = None, limit: int = 1000, poll: float = 1.0):
         """Changes without end."""

@@ -14,10 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..model import LOG, TUPLE_COLUMNS, StaleReadError, Token
 from ..operators import history, permissions
+from ..plans.durable import durable
 from ..plans.schema_language import Schema
 from ..sources.files import Folder
 
 
+STRETCH = 1 << 20
+
+
 def read(spark: SparkSession, log_path: str, files_per_batch: int = 1000) -> DataFrame:
     """The log as a stream; files_per_batch is the back-pressure."""
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(log_path)
@@ -30,11 +34,12 @@ def feed(spark: SparkSession, log_path: str, each: Callable[[DataFrame, int], No
 
 
 def project(spark: SparkSession, log_path: str, table_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Projects the log to a table partitioned by day, sorted by position in files: a batch writes its own folder."""
+    """Projects the log to a table partitioned by day, sorted by position in files: a batch writes its own folder. A day
+    is dealt over tasks by stretches of STRETCH positions, so a bulk load's day is not one task."""
 
     def write(rows: DataFrame, batch: int) -> None:
         days = rows.withColumn("commit_day", F.to_date("commit_ts")).withColumn("batch", F.lit(batch))
-        days.repartition("commit_day").sortWithinPartitions("commit_day", "lsn").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commit_day", "batch").parquet(table_path)
+        days.repartition("commit_day", F.floor(F.col("lsn") / F.lit(STRETCH))).sortWithinPartitions("commit_day", "lsn").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commit_day", "batch").parquet(table_path)
 
     return read(spark, log_path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -90,23 +95,26 @@ class Follower:
 
 
 class AccessWatch:
-    """Net changes of the answers to registered questions (object, permission, subject), from one poll to the next."""
+    """Net changes of the answers to registered questions (object, permission, subject), from one poll to the next. The
+    answers lie in a checkpoint, not on the driver."""
 
     def __init__(self, source, questions: DataFrame):
         self.source, self.questions = source, questions
         self.answers = self._now()
 
-    def _now(self) -> list:
-        return permissions.check(self.source.tuples(), self.source.schema(), self.questions).collect()  # as many as were registered
+    def _now(self) -> DataFrame:
+        return durable(permissions.check(self.source.tuples(), self.source.schema(), self.questions))
 
-    def poll(self) -> list:
-        spark = self.questions.sparkSession
-        kind = "object string, permission string, subject string, status string"
+    def changed(self) -> DataFrame:
+        """(object, permission, subject, allowed) of the answers that changed since the last poll, as a table."""
         new = self._now()
-        out = permissions.access_changes(spark.createDataFrame(self.answers, kind), spark.createDataFrame(new, kind)).collect()
+        out = durable(permissions.access_changes(self.answers, new))
         self.answers = new
         return out
 
+    def poll(self) -> list:
+        return self.changed().collect()
+
 
 def watch_access(before: DataFrame, after: DataFrame, schema: Schema, questions: DataFrame) -> DataFrame:
     """The same for two sets of tuples, as tables."""
