@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import checkpoint_folder, durable
 
-__all__ = ["SEGMENT", "WORD", "checkpoint_folder", "components", "dimension", "durable", "matrix", "merge_labels", "runs", "segments", "small", "table", "unit"]
+__all__ = ["SEGMENT", "WORD", "bounded", "checkpoint_folder", "components", "dimension", "durable", "matrix", "merge_labels", "runs", "segments", "small", "table", "unit"]
 
 #: White space and words of the contracts on words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +15,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEGMENT = 1_000_000
 
 
+#: Bytes of a batch of rows on its way to or from Python.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes, however long the rows; a bound that is set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import dimension, matrix, unit
+from ._common import bounded, dimension, durable, matrix, unit
 
 EPSILON = 2.5
 QUERY_BYTES = 16 << 20
@@ -135,7 +135,10 @@ def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", v
                     search.add(i[at : at + ROWS], y[at : at + ROWS])
             yield pa.record_batch([pa.array(ids[search.q]), pa.array(search.i), pa.array(search.s)], ["query_id", "id", "score"])
 
-        part = rows.select("id", "x").mapInArrow(run, "query_id long, id long, score double")
+        part = bounded(rows.select("id", "x")).mapInArrow(run, "query_id long, id long, score double")
+        if blocks > 1:  # one block's queries are held at a time
+            part = durable(part)
+            shared.destroy()
         found = part if found is None else found.unionAll(part)
     if found is None:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SEGMENT, runs
+from ._common import SEGMENT, bounded, runs
 from .crf import Chain, Index
 
 TAG = re.compile(
@@ -397,7 +397,7 @@ def extract(df: DataFrame, page: str = "html") -> DataFrame:
                 texts += shared.value.extract([p or "" for p in batch[page].slice(start, stop - start).to_pylist()])
             yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*(f.name for f in rest), "text", "n_chars"])
 
-    return df.mapInArrow(run, T.StructType([*rest, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return bounded(df).mapInArrow(run, T.StructType([*rest, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 
 def contract(pages: DataFrame) -> DataFrame:

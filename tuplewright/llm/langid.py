@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SEGMENT, runs, segments
+from ._common import SEGMENT, bounded, runs, segments
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters of a word that training takes at once (a bound of the training sample; prediction takes whole words).
@@ -248,7 +248,7 @@ def train(labelled: DataFrame, per_language: int = 1500, words: int = 50_000, vo
             flat = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
             yield pa.record_batch([pa.array([f[i] for f in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
-    counted = picked.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = bounded(picked.select("lang", "text")).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # the limit is taken in each partition before the shuffle, so a language's task gets few words of each
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= words)
     counts: dict[str, dict[str, int]] = {}
@@ -273,7 +273,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, dimension, durable, matrix, merge_labels, unit
+from ._common import bounded, components, dimension, durable, matrix, merge_labels, unit
 
 SAMPLE = 16_384
 LISTS = 1024
@@ -137,7 +137,7 @@ def _links(rows: DataFrame, d: int, least: float, margin) -> tuple[DataFrame, Da
                     ["id", "x", "home", "code", "error", "visits"],
                 )
 
-    placed = durable(rows.mapInArrow(place, "id long, x binary, home int, code binary, error double, visits array<int>"))
+    placed = durable(bounded(rows).mapInArrow(place, "id long, x binary, home int, code binary, error double, visits array<int>"))
     members = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
     visitors = {r["l"]: r["n"] for r in placed.select(F.explode("visits").alias("l")).groupBy("l").agg(F.count("*").alias("n")).collect()}
     lists = len(shared.value.centres)

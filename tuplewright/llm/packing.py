@@ -188,7 +188,7 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep_ids:
         if (out := closed()) is not None:
             yield out
 
-    return docs.select(id_col, text).mapInArrow(run, T.StructType(fields))
+    return bounded(docs.select(id_col, text)).mapInArrow(run, T.StructType(fields))
 
 
 def contract(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import bounded
 from .crf import Chain, Index
 
 KINDS = ("email", "ip", "card", "phone")
@@ -384,7 +385,7 @@ def detect(df: DataFrame, text: str = "text", mask: bool = False) -> DataFrame:
             yield pa.record_batch([*old, *cols], [*batch.schema.names, *new])
 
     kinds = [T.LongType()] * 5 + [T.StringType()] * 2
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(new, kinds, strict=True))]))
+    return bounded(df).mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in zip(new, kinds, strict=True))]))
 
 
 def contract(docs: DataFrame) -> DataFrame:

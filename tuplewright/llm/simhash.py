@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import components, durable, merge_labels, small
+from ._common import bounded, components, durable, merge_labels, small
 
 BUCKET = 4096
 PART = 8192
@@ -54,8 +54,9 @@ CLOSE = 0.78
 RECALL = 0.9
 WIDE_BUCKET = 1024
 PART_BYTES = 8 << 20
-#: Of the exact route: bits of a set's parities at least, sampled documents (at least; and a share of all), common shingles
+#: Of the exact route: bits of a set's sketch, and of its parities at least, sampled documents (at least; and a share of all), common shingles
 #: that are told apart at most.
+SKETCH = 512
 PARITY = 1024
 SAMPLED = 8192
 SAMPLED_SHARE = 1 / 32
@@ -161,7 +162,7 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame
             fp = pa.array(np.array(out, np.uint64).view(np.int64))
             yield pa.record_batch([*(batch[f.name] for f in rest), fp], [*(f.name for f in rest), "fp"])
 
-    return df.mapInArrow(run, T.StructType([*rest, T.StructField("fp", T.LongType())]))
+    return bounded(df).mapInArrow(run, T.StructType([*rest, T.StructField("fp", T.LongType())]))
 
 
 def _csa(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +347,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
                 h, n = np.unique(np.concatenate([shingles(t or "", width) for t in texts[k : k + 256]]), return_counts=True)
                 yield pa.record_batch([pa.array(h.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    found = some.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    found = bounded(some.select("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     got = found.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = (np.asarray(got[c].combine_chunks()).astype(np.int64) for c in ("h", "n"))
     order = np.argsort(h.view(np.uint64))
@@ -382,7 +383,7 @@ def differing(x: bytes, y: bytes) -> int:
 
 def set_prints(docs: DataFrame, width: int, similarity: float, words: int = WORDS) -> DataFrame:
     """docs (doc_id, text, text_hash) without text, with what is known of their shingle sets: bits, node (a name of the
-    set), n (its size), first (`prefix`) and parity (`parities`)."""
+    set), n (its size), first (`prefix`), parity (`parities`) and sketch (the same modulo SKETCH)."""
     common_of = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))  # COMMON shingles at most
     rest = [f for f in docs.schema.fields if f.name != "text"]
 
@@ -396,14 +397,14 @@ def set_prints(docs: DataFrame, width: int, similarity: float, words: int = WORD
                 if t not in seen:
                     h = shingles(t, width).astype(np.uint64)
                     name = xxhash.xxh64_intdigest(h.astype("<u8").tobytes())
-                    seen[t] = (_bits(h, words).astype("<u8").tobytes(), name - (1 << 64) if name >> 63 else name, len(h), prefix(h, similarity, common).view(np.int64), parities(h))
+                    seen[t] = (_bits(h, words).astype("<u8").tobytes(), name - (1 << 64) if name >> 63 else name, len(h), prefix(h, similarity, common).view(np.int64), parities(h), np.frombuffer(parities(h, SKETCH), np.int64))
                 out.append(seen[t])
-            bits, node, n, first, parity = zip(*out, strict=True) if out else ((),) * 5
+            bits, node, n, first, parity, sketch = zip(*out, strict=True) if out else ((),) * 6
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-            yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(bits, pa.binary()), pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists, pa.array(parity, pa.binary())], [*(f.name for f in rest), "bits", "node", "n", "first", "parity"])
+            yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(bits, pa.binary()), pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists, pa.array(parity, pa.binary()), pa.array(list(sketch), pa.list_(pa.int64()))], [*(f.name for f in rest), "bits", "node", "n", "first", "parity", "sketch"])
 
-    more = T.StructType.fromDDL("bits binary, node long, n int, first array<long>, parity binary").fields
-    return docs.mapInArrow(run, T.StructType([*rest, *more]))
+    more = T.StructType.fromDDL("bits binary, node long, n int, first array<long>, parity binary, sketch array<long>").fields
+    return bounded(docs).mapInArrow(run, T.StructType([*rest, *more]))
 
 
 def samples(n: int, bits: int, agree: float = AGREE, recall: float = RECALL, seed: int = 1) -> np.ndarray:
@@ -429,7 +430,7 @@ def wide_groups(nodes: DataFrame, close: float = CLOSE, words: int = WORDS) -> D
             ends = np.arange(n + 1, dtype=np.int32) * len(at)
             yield pa.record_batch([batch["fp"], batch["bits"], pa.ListArray.from_arrays(ends, pa.array(key.ravel()))], ["fp", "bits", "keys"])
 
-    keyed = nodes.select(F.col("node").alias("fp"), "bits").mapInArrow(keys, "fp long, bits binary, keys array<long>").select("fp", "bits", F.posexplode("keys").alias("table", "key"))
+    keyed = bounded(nodes.select(F.col("node").alias("fp"), "bits")).mapInArrow(keys, "fp long, bits binary, keys array<long>").select("fp", "bits", F.posexplode("keys").alias("table", "key"))
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         fp = cell["fp"].to_numpy()
@@ -459,7 +460,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [shingles(t or "", width).astype("<u8").tobytes() for t in batch["text"].to_pylist()]
             yield pa.record_batch([*(batch[f.name] for f in rest), pa.array(sets, pa.binary())], [*(f.name for f in rest), "hashes"])
 
-    return own.select(*(f.name for f in rest), "text").mapInArrow(hashed, T.StructType([*rest, T.StructField("hashes", T.BinaryType())]))
+    return bounded(own.select(*(f.name for f in rest), "text")).mapInArrow(hashed, T.StructType([*rest, T.StructField("hashes", T.BinaryType())]))
 
 
 def verified(nodes: DataFrame, near: DataFrame, docs: DataFrame, width: int, similarity: float, close: float = CLOSE, words: int = WORDS) -> DataFrame:
@@ -496,18 +497,24 @@ def verified(nodes: DataFrame, near: DataFrame, docs: DataFrame, width: int, sim
 
 
 def rest(nodes: DataFrame, docs: DataFrame, linked: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): the links of that similarity between nodes (node, n, first, parity, one) that linked (node, component)
-    doesn't join."""
+    """(a, b): the links of that similarity between nodes (node, n, first, parity, sketch, one) that linked (node,
+    component) doesn't join.
+
+    Nodes that meet in a shingle are held against each other where they lie: a pair leaves the join only if sizes, places
+    and sketches leave the similarity open.
+    """
     classed = nodes.join(small(linked).toDF("_node", "component"), F.col("node") == F.col("_node"), "left").withColumn("class", F.coalesce("component", "node"))
-    spread = classed.select("node", "n", "class", F.posexplode("first").alias("at", "shingle"))
+    spread = classed.select("node", "n", "class", "sketch", F.posexplode("first").alias("at", "shingle"))
     # only shingles of several classes matter; few rows of two numbers tell them
     several = spread.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     several = small(durable(several.select(F.col("shingle").alias("_shingle"))), 1_000_000)
     spread = durable(spread.join(several, F.col("shingle") == F.col("_shingle"), "left_semi"))
-    a, b = (spread.toDF(*(f"{c}_{k}" for c in ("node", "n", "class", "at", "shingle"))) for k in "ab")
+    a, b = (spread.toDF(*(f"{c}_{k}" for c in ("node", "n", "class", "sketch", "at", "shingle"))) for k in "ab")
     least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6  # shingles in common
     meet = (F.col("shingle_a") == F.col("shingle_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
-    pairs = durable(a.join(b, meet & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)).select("node_a", "node_b").distinct())
+    apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
+    open_ = (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least) & (apart <= F.col("n_a") + F.col("n_b") - 2 * least)
+    pairs = durable(a.join(b, meet & open_).select("node_a", "node_b").distinct())
 
     def possible(batches):
         for batch in batches:
@@ -518,7 +525,7 @@ def rest(nodes: DataFrame, docs: DataFrame, linked: DataFrame, width: int, simil
     for k in "ab":
         pairs = small(pairs).join(nodes.select(F.col("node").alias(f"node_{k}"), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"p_{k}")), f"node_{k}")
         pairs = durable(pairs) if k == "a" else pairs
-    pairs = durable(pairs.mapInArrow(possible, "node_a long, node_b long"))
+    pairs = durable(bounded(pairs).mapInArrow(possible, "node_a long, node_b long"))
     wanted = pairs.select(F.col("node_a").alias("w")).union(pairs.select("node_b")).distinct()
     wanted = nodes.join(small(durable(wanted)), F.col("node") == F.col("w")).select("node", "one")
     sets = durable(sets_of(docs, wanted, width).dropDuplicates(["node"]))
@@ -534,7 +541,7 @@ def rest(nodes: DataFrame, docs: DataFrame, linked: DataFrame, width: int, simil
                 near.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.record_batch([batch["node_a"], batch["node_b"]], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return durable(pairs.mapInArrow(compare, "a long, b long").distinct())
+    return durable(bounded(pairs).mapInArrow(compare, "a long, b long").distinct())
 
 
 def classes(prints: DataFrame, id_col: str, radius: int = 3) -> DataFrame:
@@ -551,7 +558,7 @@ def wide_classes(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY
     """
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     prints = durable(set_prints(texts, width, similarity))
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one"), *(F.first(c).alias(c) for c in ("bits", "n", "first", "parity")))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one"), *(F.first(c).alias(c) for c in ("bits", "n", "first", "parity", "sketch")))
     nodes = durable(nodes)
     linked = components(verified(nodes, wide_groups(nodes.select("node", "bits")), texts, width, similarity))
     more = rest(nodes, texts, linked, width, similarity)
