@@ -336,9 +336,13 @@ def _cells(keyed: DataFrame, part: int):
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most COMMON shingles that several documents of a sample of docs (text, text_hash) share, sorted, and how many do."""
+    """At most COMMON shingles that several texts of a sample of docs (doc_id, text, text_hash) share, sorted, and how many
+    do. Copies of a text count once, as they are one set."""
     share = max(SAMPLED_SHARE, SAMPLED / max(docs.count(), 1))
     some = docs.where(F.pmod(F.xxhash64(F.lit("common"), "text_hash"), F.lit(1 << 20)) <= int(share * (1 << 20)))
+    again = some.groupBy(F.col("text_hash").alias("_hash")).agg(F.min("doc_id").alias("_id"), F.count("*").alias("_n")).where("_n > 1")
+    again = small(durable(again.select("_hash", "_id")))
+    some = some.join(again, F.col("text_hash") == F.col("_hash"), "left").where(F.col("_hash").isNull() | F.col("doc_id").eqNullSafe(F.col("_id")))
 
     def run(batches):
         for batch in batches:
@@ -501,17 +505,21 @@ def rest(nodes: DataFrame, docs: DataFrame, linked: DataFrame, width: int, simil
     component) doesn't join.
 
     Nodes that meet in a shingle are held against each other where they lie: a pair leaves the join only if sizes, places
-    and sketches leave the similarity open.
+    and sketches leave the similarity open. Shingles that the same nodes hold (those of a passage) make the same pairs, so
+    only the first of them in the order of all shingles is joined: the first shingle that two nodes share is the first
+    of its holders' for both.
     """
     classed = nodes.join(small(linked).toDF("_node", "component"), F.col("node") == F.col("_node"), "left").withColumn("class", F.coalesce("component", "node"))
     spread = classed.select("node", "n", "class", "sketch", F.posexplode("first").alias("at", "shingle"))
-    # only shingles of several classes matter; few rows of two numbers tell them
-    several = spread.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    several = small(durable(several.select(F.col("shingle").alias("_shingle"))), 1_000_000)
-    spread = durable(spread.join(several, F.col("shingle") == F.col("_shingle"), "left_semi"))
-    a, b = (spread.toDF(*(f"{c}_{k}" for c in ("node", "n", "class", "sketch", "at", "shingle"))) for k in "ab")
+    # only shingles of several classes matter; few rows of numbers tell them, and who holds each
+    holders = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(k) for k in ("s", "t")]
+    several = spread.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), *holders).where("low < high")
+    several = small(durable(several.select(F.col("shingle").alias("_shingle"), "s", "t")), 1_000_000)
+    spread = spread.join(several, F.col("shingle") == F.col("_shingle"))
+    spread = durable(spread.groupBy("node", "s", "t").agg(*(F.first(c).alias(c) for c in ("n", "class", "sketch")), F.min("at").alias("at")))
+    a, b = (spread.select(*(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "class", "sketch", "at", "s", "t"))) for k in "ab")
     least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6  # shingles in common
-    meet = (F.col("shingle_a") == F.col("shingle_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
+    meet = (F.col("s_a") == F.col("s_b")) & (F.col("t_a") == F.col("t_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
     apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
     open_ = (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least) & (apart <= F.col("n_a") + F.col("n_b") - 2 * least)
     pairs = durable(a.join(b, meet & open_).select("node_a", "node_b").distinct())
