@@ -60,7 +60,7 @@ SKETCH = 512
 PARITY = 1024
 SAMPLED = 8192
 SAMPLED_SHARE = 1 / 12
-COMMON = 1 << 17
+COMMON = 1 << 19
 #: Share of equal bits of two texts with Jaccard similarity 0.8: 1 - acos(2 J / (1 + J)) / pi.
 AGREE = 0.849
 
