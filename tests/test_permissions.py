@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tuplewright.model import TUPLE, SchemaError, Tuple, make_tuple
+from tuplewright.model import TUPLE, CheckDepthError, SchemaError, Tuple, make_tuple
 from tuplewright.operators import permissions
 from tuplewright.plans.fixpoint import closure, closure_after_delete, closure_after_insert, reach
 from tuplewright.plans.schema_language import parse
@@ -96,6 +96,18 @@ def test_depth(spark):
     assert got == {"person:near": "ALLOW", "person:far": "DEPTH", "person:deep": "ALLOW", "person:none": "DEPTH"}
 
 
+def test_lookups_tell_of_the_limit(spark):
+    schema = parse(MODEL)
+    rows = [make_tuple(f"site:{k}", "part_of", f"site:{k + 1}") for k in range(12)] + [make_tuple("site:3", "guard", "person:near"), make_tuple("site:12", "guard", "person:far")]
+    df, one = spark.createDataFrame(rows, TUPLE), lambda x: spark.createDataFrame([(x,)], "x string")
+    with pytest.raises(CheckDepthError):
+        permissions.lookup_subjects(df, schema, one("site:0"), "enter", limit=6)
+    assert [r["subject"] for r in permissions.lookup_subjects(df, schema, one("site:0"), "enter", limit=6, partial=True).collect()] == ["person:near"]
+    with pytest.raises(CheckDepthError):
+        permissions.lookup_resources(df, schema, one("person:far"), "site", "enter", limit=6)
+    assert {r["object"] for r in permissions.lookup_resources(df, schema, one("person:near"), "site", "enter", limit=6).collect()} == {f"site:{k}" for k in range(4)}
+
+
 def test_strange_kinds_among_many(spark):
     many = spark.range(30_000).select(F.concat(F.lit("kind"), "id", F.lit(":1")).alias("o"), F.lit("enter").alias("p"), F.lit("person:1").alias("s"))
     with pytest.raises(SchemaError):

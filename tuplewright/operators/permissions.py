@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import TUPLE_COLUMNS, SchemaError
+from ..model import TUPLE_COLUMNS, CheckDepthError, SchemaError
 from ..plans.durable import durable
 from ..plans.schema_language import Schema, Subject
 
@@ -99,7 +99,9 @@ def walk(edges: DataFrame, starts: DataFrame, limit: int = LIMIT) -> tuple[DataF
     near = ways.groupBy("start").agg(F.max("frames").alias("f")).where(F.col("f") >= limit).select("start")
     near = short.unionByName(near).distinct().toDF("w")
     cut = first.join(near, F.col("via") == F.col("w"), "left_semi").join(ways.toDF("w2", "node", "f"), F.col("via") == F.col("w2"))
-    cut = cut.where(F.col("f") + F.col("cost") > limit).select("start").unionByName(first.join(short.toDF("w3"), F.col("via") == F.col("w3"), "left_semi").select("start"))
+    within = (F.col("start") == F.col("bs")) & (F.col("node") == F.col("bn"))  # another first step comes there sooner
+    cut = cut.where(F.col("f") + F.col("cost") > limit).select("start", "node").join(best.select(F.col("start").alias("bs"), F.col("node").alias("bn")), within, "left_anti")
+    cut = cut.select("start").unionByName(first.join(short.toDF("w3"), F.col("via") == F.col("w3"), "left_semi").select("start"))
     return best, cut.distinct()
 
 
@@ -168,26 +170,40 @@ def _known(asked: DataFrame, schema: Schema) -> None:
         schema.type(r["s"])
 
 
-def lookup_subjects(tuples: DataFrame, schema: Schema, objects: DataFrame, permission: str, subject_type: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """(object, subject) of everyone who has the permission on each object (column object: type:id)."""
+def _whole(cut: DataFrame, limit: int) -> None:
+    """Raises if the limit cut a walk of a lookup, as the result would lack what lies beyond it."""
+    for r in cut.limit(1).collect():
+        raise CheckDepthError(f"the lookup from {r['start']} needs more than {limit} steps")
+
+
+def lookup_subjects(tuples: DataFrame, schema: Schema, objects: DataFrame, permission: str, subject_type: str | None = None, limit: int = LIMIT, partial: bool = False) -> DataFrame:
+    """(object, subject) of everyone who has the permission on each object (column object: type:id).
+
+    Where something lies beyond limit frames, a CheckDepthError, or with partial the subjects within the limit.
+    """
     starts = objects.toDF("object").distinct().select(F.concat("object", F.lit("#"), F.lit(permission)).alias("start"))
-    reached, _ = walk(frame_edges(tuples, schema), starts, limit)
+    reached, cut = walk(frame_edges(tuples, schema), starts, limit)
+    if not partial:
+        _whole(cut, limit)
     found = reached.join(direct(tuples), F.col("node") == F.col("frame")).select("start", "subject").distinct()
     if subject_type:
         found = found.where(F.startswith("subject", F.lit(subject_type + ":")))
     return found.select(F.expr(f"left(start, length(start) - {len(permission) + 1})").alias("object"), "subject")
 
 
-def lookup_resources(tuples: DataFrame, schema: Schema, subjects: DataFrame, object_type: str, permission: str, limit: int = LIMIT) -> DataFrame:
+def lookup_resources(tuples: DataFrame, schema: Schema, subjects: DataFrame, object_type: str, permission: str, limit: int = LIMIT, partial: bool = False) -> DataFrame:
     """(subject, object) of all objects of a type on which each subject (column subject) has the permission.
 
     Walks the frame graph backwards from the subjects' direct tuples, so the cost follows what they can reach.
+    Where something lies beyond limit frames, a CheckDepthError, or with partial the objects within the limit.
     """
     schema.define(object_type, permission)
     back = frame_edges(tuples, schema).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")
     own = subjects.toDF("s").distinct().join(direct(tuples), F.col("s") == F.col("subject")).select("subject", "frame")
     own = durable(own)
-    reached, _ = walk(back, own.select("frame"), limit)
+    reached, cut = walk(back, own.select("frame"), limit)
+    if not partial:
+        _whole(cut, limit)
     end = "#" + permission
     hit = reached.where(F.startswith("node", F.lit(object_type + ":")) & F.endswith("node", F.lit(end)))
     out = own.join(hit, F.col("frame") == F.col("start")).select("subject", F.expr(f"left(node, length(node) - {len(end)})").alias("object")).distinct()
