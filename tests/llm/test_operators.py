@@ -157,6 +157,15 @@ def test_search_odd(spark):
     assert ann.contract(df.limit(0)).count() == 0 and ann.search(df, F.lit(None).cast("boolean")).count() == 0
 
 
+def test_search_with_clashing_columns(spark):
+    df = vectors(spark, [[1, 0], [1, 0.1], [0, 1]])
+    more = df.select("*", *(F.lit("own").alias(c) for c in ("id", "x", "asks", "query_id", "rank", "score")))
+    asked = F.col("vec_id") == 0
+    got = ann.search(more, asked)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.collect() == ann.search(df, asked).collect()
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [1, 2]
+
+
 def test_search_in_blocks_is_the_same(spark, sf):
     df = table(spark, sf, "embeddings")
     whole = ann.search(df, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id")
@@ -431,6 +440,14 @@ def test_vector_links_over_lists_and_cells(spark, monkeypatch):
     assert all(got[a]["component_id"] == got[b]["component_id"] for a, b in zip(*np.nonzero(s), strict=True))
 
 
+def test_vector_links_of_repeated_ids_and_clashing_columns(spark):
+    df = vectors(spark, [[1, 0], [1, 0], [0, 1]], [(0, [1.0, 0.0]), (0, [0.0, 1.0])])
+    more = df.select("*", *(F.lit("own").alias(c) for c in ("id", "x", "node", "home", "list", "n_links", "component", "component_id", "kept")))
+    got = {r["vec_id"]: tuple(r)[1:] for r in neardup_embedding.contract(more).collect()}
+    # rows of one id don't link with each other; their links to other ids add up, and join both sides
+    assert got == {0: (3, 0, True), 1: (2, 0, False), 2: (1, 0, False)}
+
+
 def test_vector_links_of_few_intrinsic_dimensions(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((6000, 4)) @ np.linalg.qr(rng.standard_normal((64, 4)))[0].T

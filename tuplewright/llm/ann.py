@@ -45,9 +45,9 @@ def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.n
     """Positions of each query's k largest scores, ties to smaller ids; an id counts once per query."""
     order = np.lexsort((ids, -scores, query))
     q, i = query[order], ids[order]
-    same = np.append(False, (q[1:] == q[:-1]) & (i[1:] == i[:-1]))
+    same = np.append(False, (q[1:] == q[:-1]) & (i[1:] == i[:-1]))[: len(q)]  # nothing of nothing
     order, q = order[~same], q[~same]
-    first = np.append(True, q[1:] != q[:-1])
+    first = np.append(True, q[1:] != q[:-1])[: len(q)]
     start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
     return order[np.arange(len(q)) - start < k]
 
