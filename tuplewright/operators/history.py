@@ -18,7 +18,7 @@ from ..functions.names import id_of, type_of
 from ..model import TUPLE_COLUMNS, CorruptLogError, HistoryExpiredError, Token, aware
 
 BUCKET = 1 << 20
-MOST_TENURES = 10_000
+MOST_TENURES = 64
 
 
 def running_last(rows: DataFrame, order: str, value: Column, name: str, bucket: int = BUCKET) -> DataFrame:
