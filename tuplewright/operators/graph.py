@@ -6,8 +6,10 @@ of questions, so a million lookups are one join.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from ..plans.fixpoint import reach
+from ..plans.fixpoint import UNROLLED, reach
+from ..plans.packed import reach_counts, reach_packed
 
 #: Nodes up to this many are broadcast to filter edges; more are joined by shuffle.
 MOST_BROADCAST = 100_000
@@ -76,11 +78,21 @@ def khop(current: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """(start, node, depth): nodes within max_depth steps, each once with its least depth, the start left out."""
     if max_depth < 0:
         raise ValueError("depth is not negative")
+    if _packable(current, starts, max_depth):
+        return reach_packed(current, starts, max_depth).where("node <> start")
     return reach(current, starts, max_depth).where("node <> start")
 
 
+def _packable(current: DataFrame, nodes: DataFrame, depth: int) -> bool:
+    """Whether reach_packed takes them: nodes are longs, and a first step is followed by a second."""
+    whole = all(isinstance(f.dataType, LongType) for f in (*current.schema, *nodes.schema))
+    return whole and 2 <= depth <= UNROLLED
+
+
 def khop_counts(current: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """(start, nodes): how many nodes khop finds, 0 included."""
+    if _packable(current, starts, max_depth):
+        return reach_counts(current, starts, max_depth).select("start", (F.col("found") - 1).alias("nodes"))
     found = reach(current, starts, max_depth)
     return found.groupBy("start").agg((F.count("*") - 1).alias("nodes"))
 
