@@ -54,3 +54,28 @@ def test_found_pairs_are_not_shuffled(spark):
     assert found.count() == 300 * (10 + 10 * 300)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Exchange")  # the plan's last step is on top
+
+
+@pytest.mark.parametrize("depth", [2, 3, 4])
+def test_reachable_from_both_sides(spark, depth):
+    r = random.Random(depth)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(90)] + [(None, 1), (1, None)]
+    ways = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            ways.setdefault(a, set()).add(b)
+    asked = [(u, v) for u in range(0, 62, 3) for v in range(62)] + [(None, 1), (1, None), (5, 5), (5, 5)]
+    got = graph.reachable(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(asked, "a long, b long"), depth)
+    want = {(u, v, u is not None and v in distances(ways, u, depth)) for u, v in asked}
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_reachable_steps_back_from_few_ends(spark, monkeypatch):
+    """200 starts reach 40,000 nodes each in two steps, but the one end asked for has a single node before it."""
+    rows = []
+    keep = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: rows.append((out := keep(df)).count()) or out)
+    e = spark.range(200).selectExpr("id a", "explode(sequence(1000L, 1019L)) b").union(spark.range(1000, 1020).selectExpr("id", "explode(sequence(id * 10000, id * 10000 + 199))"))
+    e = e.union(spark.sql("select 10190007L, 5L"))
+    assert graph.reachable(e, spark.range(200).selectExpr("id", "5L"), 3).where("found").count() == 200
+    assert max(rows[1:]) <= e.count()

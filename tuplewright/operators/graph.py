@@ -4,10 +4,13 @@ Edges are a set; self-loops are allowed. Keys are longs or strings, one kind per
 of questions, so a million lookups are one join.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..plans.durable import forget, stored
 from ..plans.fixpoint import UNROLLED, reach
 from ..plans.packed import reach_counts, reach_packed
 
@@ -100,8 +103,39 @@ def khop_counts(current: DataFrame, starts: DataFrame, max_depth: int) -> DataFr
 def reachable(current: DataFrame, questions: DataFrame, max_depth: int) -> DataFrame:
     """(u, v, found): whether v is within max_depth steps of u."""
     asked = questions.toDF("u", "v").distinct()
-    found = reach(current, asked.select("u"), max_depth).select(F.col("start").alias("s"), F.col("node").alias("n"), F.lit(True).alias("hit"))
-    return asked.join(found, (F.col("u") == F.col("s")) & (F.col("v") == F.col("n")), "left").select("u", "v", F.coalesce("hit", F.lit(False)).alias("found"))
+    if 2 <= max_depth <= UNROLLED:
+        hits = _met(edges(current), asked, max_depth)
+    else:
+        found = reach(current, asked.select("u"), max_depth)
+        hits = asked.join(found, (F.col("u") == F.col("start")) & (F.col("v") == F.col("node"))).select("u", "v")
+    hits = hits.select(F.col("u").alias("s"), F.col("v").alias("n"), F.lit(True).alias("hit"))
+    return asked.join(hits, (F.col("u") == F.col("s")) & (F.col("v") == F.col("n")), "left").select("u", "v", F.coalesce("hit", F.lit(False)).alias("found"))
+
+
+def _met(e: DataFrame, asked: DataFrame, max_depth: int) -> DataFrame:
+    """(u, v) of the questions whose v is within max_depth steps of u.
+
+    Steps forward from all u and backward from all v, each time on the side whose next step has fewer rows to make; the
+    questions whose two sides meet in a node are answered.
+    """
+    e = stored(e)
+    sides = []
+    for end, edge in (("u", e.toDF("at", "to")), ("v", e.select(F.col("dst").alias("at"), F.col("src").alias("to")))):
+        degrees = stored(edge.groupBy(F.col("at").alias("d")).agg(F.count("*").alias("n")))
+        ends = asked.where(F.col(end).isNotNull()).select(F.col(end).alias("start"), F.col(end).alias("node")).distinct()
+        sides.append({"edge": edge, "degrees": degrees, "levels": [ends], "next": None})
+    for step in range(max_depth):
+        for side in sides:
+            if side["next"] is None:
+                side["next"] = side["levels"][-1].join(side["degrees"], F.col("node") == F.col("d")).agg(F.sum("n")).first()[0] or 0
+        side = min(sides, key=lambda x: x["next"])
+        wider = side["levels"][-1].join(side["edge"], F.col("node") == F.col("at")).select("start", F.col("to").alias("node")).distinct()
+        side["levels"].append(stored(wider))
+        side["next"] = None if step + 1 < max_depth else 0
+    forget(e, *(x["degrees"] for x in sides))
+    ahead, behind = (reduce(DataFrame.unionByName, x["levels"]) for x in sides)
+    ways = asked.join(ahead, F.col("u") == F.col("start")).select("u", "v", F.col("node").alias("via"))
+    return ways.join(behind, (F.col("v") == F.col("start")) & (F.col("via") == F.col("node")), "left_semi").select("u", "v").distinct()
 
 
 def dictionary(names: Column, rows: DataFrame, first: int = 0) -> DataFrame:
