@@ -79,3 +79,11 @@ def test_reachable_steps_back_from_few_ends(spark, monkeypatch):
     e = e.union(spark.sql("select 10190007L, 5L"))
     assert graph.reachable(e, spark.range(200).selectExpr("id", "5L"), 3).where("found").count() == 200
     assert max(rows[1:]) <= e.count()
+
+
+def test_counts_are_made_where_pairs_are_found(spark):
+    e = spark.range(300).selectExpr("id a", "explode(sequence(1000L, 1009L)) b").union(spark.range(1000, 1010).selectExpr("id", "explode(sequence(id * 1000, id * 1000 + 299))"))
+    counts = graph.khop_counts(e, spark.range(301), 2)
+    assert {tuple(r) for r in counts.collect()} == {(k, 10 + 10 * 300) for k in range(300)} | {(300, 0)}
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")
