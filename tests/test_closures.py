@@ -56,3 +56,10 @@ def test_insert_does_not_store_the_added_pairs(spark, monkeypatch):
     after = fixpoint.closure_after_insert(fixpoint.closure(e), spark.sql("select 1000L, 2000L"))
     assert after.count() == 600 + 301 * 301
     assert max(rows) <= 700
+
+
+def test_insert_into_nothing_and_of_nothing(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    ring = {(1, 2), (2, 3), (3, 1), (3, 4)}
+    assert got(fixpoint.closure_after_insert(none, spark.createDataFrame(sorted(ring), "a long, b long"))) == closed(ring)
+    assert got(fixpoint.closure_after_insert(fixpoint.closure(spark.createDataFrame(sorted(ring), "a long, b long")), none)) == closed(ring)
