@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import TUPLE_COLUMNS, CheckDepthError, SchemaError
-from ..plans.durable import durable
+from ..plans.durable import forget, stored
 from ..plans.schema_language import Schema, Subject
 
 #: Frames on a path, the question's own included.
@@ -85,10 +85,10 @@ def walk(edges: DataFrame, starts: DataFrame, limit: int = LIMIT) -> tuple[DataF
     Many starts share what their first step leads to (documents of a folder): if fewer such frames than
     starts lead on, only those are walked, and each start's walk is put together from its first step and theirs.
     """
-    e = durable(edges.toDF("src", "dst", "cost"))
-    s = durable(starts.toDF("start").where("start is not null").distinct())
-    first = durable(s.join(e, F.col("start") == F.col("src")).select("start", F.col("dst").alias("via"), "cost"))
-    shared = durable(first.select("via").distinct())
+    e = stored(edges.toDF("src", "dst", "cost"))
+    s = stored(starts.toDF("start").where("start is not null").distinct())
+    first = stored(s.join(e, F.col("start") == F.col("src")).select("start", F.col("dst").alias("via"), "cost"))
+    shared = stored(first.select("via").distinct())
     if shared.join(e, F.col("via") == F.col("src"), "left_semi").count() * 2 > s.count():
         return _walk(e, s, limit)
     ways, short = _walk(e, shared, limit)
@@ -112,8 +112,8 @@ def _walk(e: DataFrame, starts: DataFrame, limit: int) -> tuple[DataFrame, DataF
         on = rows.select(F.col("start").alias("s"), F.col("node").alias("n"), F.col("frames").alias("f")).join(e, F.col("n") == F.col("src"))
         return on.groupBy("s", "dst").agg(F.min(F.col("f") + F.col("cost")).alias("frames")).toDF("start", "node", "frames")
 
-    found = durable(starts.toDF("start").select("start", F.col("start").alias("node"), F.lit(1).alias("frames")))
-    fresh, cut, rounds = found, None, 0
+    found = stored(starts.toDF("start").select("start", F.col("start").alias("node"), F.lit(1).alias("frames")))
+    fresh, cut, rounds, pieces = found, None, 0, [found]
     while not fresh.isEmpty():
         rounds += 1
         one, both = fresh, None
@@ -123,7 +123,8 @@ def _walk(e: DataFrame, starts: DataFrame, limit: int) -> tuple[DataFrame, DataF
             both = own if both is None else both.unionByName(own)
         both = both.groupBy("start", "node").agg(F.min(F.struct("frames", "waits")).alias("x")).select("start", "node", "x.frames", "x.waits")
         no_better = (F.col("start") == F.col("os")) & (F.col("node") == F.col("on")) & (F.col("of") <= F.col("frames"))
-        better = durable(both.join(found.toDF("os", "on", "of"), no_better, "left_anti"))
+        better = stored(both.join(found.toDF("os", "on", "of"), no_better, "left_anti"))
+        pieces.append(better)
         if STEPS * rounds >= limit:  # a round adds STEPS frames at most
             over = better.where(F.col("frames") > limit).select("start")
             cut = over if cut is None else cut.union(over)
@@ -131,9 +132,12 @@ def _walk(e: DataFrame, starts: DataFrame, limit: int) -> tuple[DataFrame, DataF
         fresh = within.where("waits = 1").select("start", "node", "frames")
         found = found.unionByName(within.select("start", "node", "frames"))
         if rounds % 6 == 0:
-            found = durable(found)
-    best = durable(found.groupBy("start", "node").agg(F.min("frames").alias("frames")))
-    return best, (cut if cut is not None else found.select("start").limit(0)).distinct()
+            found = stored(found)
+            pieces.append(found)
+    best = stored(found.groupBy("start", "node").agg(F.min("frames").alias("frames")))
+    cut = stored(cut.distinct()) if cut is not None else best.select("start").limit(0)
+    forget(*pieces)
+    return best, cut
 
 
 def check(tuples: DataFrame, schema: Schema, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -200,7 +204,7 @@ def lookup_resources(tuples: DataFrame, schema: Schema, subjects: DataFrame, obj
     schema.define(object_type, permission)
     back = frame_edges(tuples, schema).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")
     own = subjects.toDF("s").distinct().join(direct(tuples), F.col("s") == F.col("subject")).select("subject", "frame")
-    own = durable(own)
+    own = stored(own)
     reached, cut = walk(back, own.select("frame"), limit)
     if not partial:
         _whole(cut, limit)
@@ -210,6 +214,80 @@ def lookup_resources(tuples: DataFrame, schema: Schema, subjects: DataFrame, obj
     return out
 
 
+#: Frames with so many direct subjects or more are counted by classes of subjects, smaller ones subject by subject.
+BIG = 64
+
+
+def _live(e: DataFrame, held: DataFrame) -> DataFrame:
+    """The edges but those to frames that neither lead on nor are in held (frame, subject), so nothing is found by them."""
+    ends = e.select(F.col("src").alias("f")).union(held.select("frame")).distinct()
+    return e.join(ends, F.col("dst") == F.col("f"), "left_semi")
+
+
+def _counted(tuples: DataFrame, schema: Schema, objects: DataFrame, permission: str, subjects, limit: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """((start, sig), (subject, class), (sig, class), (start, subject)): who has a permission, without a row for each pair.
+
+    Objects whose first steps lead on to the same frames are walked once, and are of one sig if they come to the same big
+    frames; subjects of the same big frames are one class. All of a class have the permission on all objects of a sig where
+    (sig, class) is a row; the last table has the other pairs, which come from small frames. subjects: filter of (frame, subject).
+    """
+    held = stored(subjects(direct(tuples)))
+    e = stored(_live(frame_edges(tuples, schema), held))
+    big = stored(held.groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") >= BIG).select(F.col("frame").alias("big")))
+    starts = stored(objects.toDF("object").where("object is not null").distinct().select(F.concat("object", F.lit("#"), F.lit(permission)).alias("start")))
+    first = starts.join(e, F.col("start") == F.col("src")).select("start", F.col("dst").alias("via"), "cost")
+    shared = e.select(F.col("src").alias("on")).union(big).distinct()
+    first = stored(first.join(shared.withColumn("leads", F.lit(True)), F.col("via") == F.col("on"), "left").select("start", "via", "cost", F.col("leads").isNotNull().alias("leads")))
+    ways = stored(first.where("leads").groupBy("start").agg(F.sort_array(F.collect_set(F.struct("via", "cost"))).alias("ways")))
+    groups = stored(ways.groupBy("ways").agg(F.min("start").alias("group")))
+    member = stored(ways.join(groups.toDF("w", "group"), F.col("ways") == F.col("w")).select("start", "group"))
+    # one frame stands for all starts of a group; no name of an object begins like it
+    own = groups.select(F.concat(F.lit("="), "group").alias("src"), F.explode("ways").alias("way")).select("src", "way.via", "way.cost").toDF("src", "dst", "cost")
+    reached, cut = walk(e.unionByName(own), own.select("src"), limit)
+    _whole(cut.select(F.expr("substring(start, 2)").alias("start")), limit)
+    holding = held.select(F.col("frame").alias("f")).distinct()
+    nodes = reached.join(holding, F.col("node") == F.col("f"), "left_semi").select(F.expr("substring(start, 2)").alias("group"), "node")
+    nodes = stored(nodes.join(big.withColumn("is_big", F.lit(True)), F.col("node") == F.col("big"), "left").select("group", "node", F.col("is_big").isNotNull().alias("is_big")))
+    sets = stored(nodes.where("is_big").groupBy("group").agg(F.sort_array(F.collect_set("node")).alias("frames")))
+    sigs = stored(sets.groupBy("frames").agg(F.min("group").alias("sig")))
+    sig_of = member.join(sets.join(sigs.toDF("fs", "sig"), F.col("frames") == F.col("fs")).select(F.col("group").alias("g"), "sig"), F.col("group") == F.col("g")).select("start", "sig")
+    theirs = stored(held.join(big, F.col("frame") == F.col("big"), "left_semi").groupBy("subject").agg(F.sort_array(F.collect_set("frame")).alias("frames")))
+    classes = stored(theirs.groupBy("frames").agg(F.min("subject").alias("class")))
+    class_of = stored(theirs.join(classes.toDF("fs", "class"), F.col("frames") == F.col("fs")).select("subject", "class"))
+    sig_of = stored(sig_of)
+    cover = sigs.select("sig", F.explode("frames").alias("node")).join(classes.select("class", F.explode("frames").alias("frame")), F.col("node") == F.col("frame"))
+    cover = stored(cover.select("sig", "class").distinct())
+    near = starts.select("start", F.col("start").alias("node")).unionByName(first.where("not leads").select("start", F.col("via").alias("node")))
+    far = member.join(nodes.where("not is_big").select(F.col("group").alias("g"), "node"), F.col("group") == F.col("g")).select("start", "node")
+    pairs = near.unionByName(far).join(held, F.col("node") == F.col("frame")).select("start", "subject").distinct()
+    pairs = pairs.join(sig_of.toDF("s", "sig"), F.col("start") == F.col("s"), "left").join(class_of.toDF("who", "class"), F.col("subject") == F.col("who"), "left")
+    rest = pairs.join(cover.toDF("cs", "cc"), (F.col("sig") == F.col("cs")) & (F.col("class") == F.col("cc")), "left_anti").select("start", "subject")
+    return sig_of, class_of, cover, rest
+
+
+def count_subjects(tuples: DataFrame, schema: Schema, objects: DataFrame, permission: str, subject_type: str, limit: int = LIMIT) -> DataFrame:
+    """(object, subjects): how many subjects lookup_subjects finds for each object that has any. The limit is 2 or more."""
+    of_type = lambda d: d.where(F.startswith("subject", F.lit(subject_type + ":")))
+    sig_of, class_of, cover, rest = _counted(tuples, schema, objects, permission, of_type, limit)
+    sizes = class_of.groupBy(F.col("class").alias("c")).agg(F.count("*").alias("n"))
+    whole = cover.join(sizes, F.col("class") == F.col("c")).groupBy(F.col("sig").alias("s")).agg(F.sum("n").alias("n"))
+    both = sig_of.join(whole, F.col("sig") == F.col("s")).select("start", "n").unionByName(rest.groupBy("start").agg(F.count("*").alias("n")))
+    return both.groupBy("start").agg(F.sum("n").alias("subjects")).select(F.expr(f"left(start, length(start) - {len(permission) + 1})").alias("object"), "subjects")
+
+
+def count_resources(tuples: DataFrame, schema: Schema, subjects: DataFrame, object_type: str, permission: str, limit: int = LIMIT) -> DataFrame:
+    """(subject, objects): how many objects lookup_resources finds for each subject that has any. The limit is 2 or more."""
+    schema.define(object_type, permission)
+    objects = tuples.where(F.col("object_type") == F.lit(object_type)).select(_object("object_type", "object_id").alias("object"))
+    asked = subjects.toDF("asked").distinct()
+    own = lambda d: d.join(asked, F.col("subject") == F.col("asked"), "left_semi")
+    sig_of, class_of, cover, rest = _counted(tuples, schema, objects, permission, own, limit)
+    sizes = sig_of.groupBy(F.col("sig").alias("s")).agg(F.count("*").alias("n"))
+    whole = cover.join(sizes, F.col("sig") == F.col("s")).groupBy(F.col("class").alias("c")).agg(F.sum("n").alias("n"))
+    both = class_of.join(whole, F.col("class") == F.col("c")).select("subject", "n").unionByName(rest.groupBy("subject").agg(F.count("*").alias("n")))
+    return both.groupBy("subject").agg(F.sum("n").alias("objects"))
+
+
 def access_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(object, permission, subject, allowed) of the answers that differ between two results of check."""
     b, a = before.select("object", "permission", "subject", (F.col("status") == "ALLOW").alias("was")), after.select(F.col("object").alias("o"), F.col("permission").alias("p"), F.col("subject").alias("s"), (F.col("status") == "ALLOW").alias("allowed"))
