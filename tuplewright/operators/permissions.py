@@ -140,38 +140,169 @@ def _walk(e: DataFrame, starts: DataFrame, limit: int) -> tuple[DataFrame, DataF
     return best, cut
 
 
+def _expansion(schema: Schema, kind: str, name: str) -> dict[str, int]:
+    """The names that a definition leads to on its own object by computed terms, itself at 0, with the least steps."""
+    out, todo = {name: 0}, [name]
+    for n in todo:  # grows; all steps cost 1, so names come in the order of their steps
+        for term in schema.types[kind].permissions.get(n, ()) if kind in schema.types else ():
+            if not term.through and term.name not in out:
+                out[term.name] = out[n] + 1
+                todo.append(term.name)
+    return out
+
+
+def _rules(schema: Schema, sets: list, definitions: set) -> list[tuple]:
+    """(type, definition, relation, child's type, tuple's subject relation, child's definition, cost, tail) of every tuple that leads on.
+
+    sets: (object_type, relation, subject_type, subject_relation) of the set tuples there are. Cost has the computed steps up to the
+    tuple; tail is the most frames from the child on, itself included, on the child's own object.
+    """
+    best: dict[tuple, int] = {}
+    for kind, definition in definitions:
+        for n, k in _expansion(schema, kind, definition).items():
+            found = [(r, st, sr, sr, k) for ot, r, st, sr in sets if (ot, r) == (kind, n)]
+            for term in schema.types[kind].permissions.get(n, ()) if kind in schema.types else ():
+                if term.through:
+                    found += [(term.through, x.type, "", term.name, k + 1) for x in schema.types[kind].relations[term.through] if schema.types[x.type].has(term.name)]
+            for *rest, cost in found:
+                key = (kind, definition, *rest)
+                best[key] = min(cost, best.get(key, cost))
+    return [(*key, cost, 1 + max(_expansion(schema, key[3], key[5]).values())) for key, cost in sorted(best.items())]
+
+
+def _steps(tuples: DataFrame, rules: list[tuple]) -> DataFrame:
+    """(object, definition, child, cost, tail): what the rules make of the tuples; child is a frame. Rules are a few rows per type."""
+    r = tuples.sparkSession.createDataFrame(rules or [("",) * 6 + (0, 0)], "rt string, definition string, rr string, rst string, rsr string, name string, cost int, tail int")
+    own = tuples.where(F.col("object_type").isin([x[0] for x in rules]) & F.col("relation").isin([x[2] for x in rules]))
+    match = (F.col("object_type") == F.col("rt")) & (F.col("relation") == F.col("rr")) & (F.col("subject_type") == F.col("rst")) & (F.col("subject_relation") == F.col("rsr"))
+    return own.join(F.broadcast(r), match).select(_object("object_type", "object_id").alias("object"), "definition", F.concat(_object("subject_type", "subject_id"), F.lit("#"), "name").alias("child"), "cost", "tail")
+
+
+def _holders(tuples: DataFrame, schema: Schema, definitions: set) -> DataFrame:
+    """(object, definition, who, cost): plain subjects of the tuples that a definition comes to on its own object."""
+    rows = [(kind, d, n, k) for kind, d in sorted(definitions) for n, k in _expansion(schema, kind, d).items()]
+    r = tuples.sparkSession.createDataFrame(rows or [("", "", "", 0)], "rt string, definition string, rr string, cost int")
+    own = tuples.where("subject_relation = ''").where(F.col("object_type").isin([x[0] for x in rows]) & F.col("relation").isin([x[2] for x in rows]))
+    found = own.join(F.broadcast(r), (F.col("object_type") == F.col("rt")) & (F.col("relation") == F.col("rr")))
+    return found.select(_object("object_type", "object_id").alias("object"), "definition", _object("subject_type", "subject_id").alias("who"), "cost")
+
+
+def _heights(e: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """(id, u): the frames of the longest walk from each node, limit + 1 where there are more (so on a way to a cycle); nodes: (id, tail)."""
+    low = lambda c: F.least(c, F.lit(limit + 1))
+    now, before, total = stored(nodes.select("id", low(F.col("tail")).alias("u"))), None, None
+    while before is None or total != before:
+        wider = now
+        for _ in range(STEPS):
+            up = e.join(wider.toDF("n", "nu"), F.col("dst") == F.col("n")).select(F.col("src").alias("id"), low(F.col("nu") + F.col("cost")).alias("u"))
+            wider = wider.unionByName(up).groupBy("id").agg(F.max("u").alias("u"))
+        wider = stored(wider)
+        forget(now)
+        now, before = wider, total
+        total = now.agg(F.sum("u")).first()[0]
+    return now
+
+
+def _backward(vias: int, targets: int, nodes: int) -> bool:
+    return targets < vias and vias * 8 > nodes
+
+
+def _reached(e: DataFrame, nodes: DataFrame, targets: DataFrame, vias: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """((via, target, frames), (id, u)): targets that vias reach, and a bound of the frames of any path from each via.
+
+    Walks from the vias, or backward from the targets where vias are many and targets fewer. nodes: (id, tail).
+    """
+    if _backward(vias.count(), targets.count(), nodes.count()):
+        back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")
+        ways, _ = _walk(back, targets, limit)
+        found = stored(ways.toDF("target", "via", "frames").join(vias.toDF("v"), F.col("via") == F.col("v"), "left_semi"))
+        forget(ways)
+        return found, _heights(e, nodes, limit)
+    ways, cut = _walk(e, vias, limit)
+    ends = ways.join(nodes, F.col("node") == F.col("id")).groupBy("start").agg(F.max(F.col("frames") + F.col("tail") - 1).alias("u"))
+    bound = ends.unionByName(cut.select("start", F.lit(limit + 1).alias("u"))).groupBy(F.col("start").alias("id")).agg(F.max("u").alias("u"))
+    return stored(ways.toDF("via", "target", "frames").join(targets.toDF("t"), F.col("target") == F.col("t"), "left_semi")), bound
+
+
 def check(tuples: DataFrame, schema: Schema, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(object, permission, subject, status): ALLOW, DENY, or DEPTH where the limit left it undecided.
 
     questions: (object, permission, subject), names as type:id. A type or definition that the schema lacks is a
     SchemaError; an object or subject that no tuple names is denied.
+
+    Tuples of a question's own object answer it or lead on to frames that many objects share. Walks go only between those and the
+    frames that hold a subject asked for, over numbers, and a question is joined with what holds its subject, not with all that
+    its object reaches. Where no path can pass the limit, nothing is undecided; other starts are walked whole to tell.
     """
     asked = questions.toDF("object", "permission", "subject").distinct()
-    _known(asked, schema)
-    q = asked.withColumn("start", F.concat("object", F.lit("#"), "permission"))
-    reached, cut = walk(frame_edges(tuples, schema), q.select("start"), limit)
-    ways = q.select(F.col("start").alias("qs"), F.col("subject").alias("who")).distinct().join(reached, F.col("qs") == F.col("start"))
-    d = direct(tuples).toDF("frame", "has")
-    granted = ways.join(d, (F.col("node") == F.col("frame")) & (F.col("who") == F.col("has")), "left_semi").select(F.col("qs").alias("gs"), "who").distinct().withColumn("hit", F.lit(True))
-    out = q.join(granted, (F.col("start") == F.col("gs")) & (F.col("subject") == F.col("who")), "left").join(cut.select(F.col("start").alias("cs"), F.lit(True).alias("cut")), F.col("start") == F.col("cs"), "left")
-    status = F.when(F.col("hit"), "ALLOW").when(F.col("cut"), "DEPTH").otherwise("DENY")
-    return out.select("object", "permission", "subject", status.alias("status"))
-
-
-def _known(asked: DataFrame, schema: Schema) -> None:
-    """Every kind of question is held against the schema's own pairs; the first strange one is told."""
+    kinds = _known(asked, schema)
+    t = tuples.select(*TUPLE_COLUMNS)
+    sets = sorted(map(tuple, t.where("subject_relation <> ''").select("object_type", "relation", "subject_type", "subject_relation").distinct().collect()))  # a row per allowed subject of the schema
+    first = _rules(schema, sets, kinds)
+    inner, todo = set(), {(x[3], x[5]) for x in first}
+    while todo:
+        inner |= todo
+        todo = {(x[3], x[5]) for x in _rules(schema, sets, todo)} - inner
+    near = _holders(t, schema, kinds).where(F.col("cost") < limit).select(F.col("object").alias("no"), F.col("definition").alias("np"), F.col("who").alias("nw"), F.lit(True).alias("hit")).distinct()
+    q = asked.join(near, (F.col("object") == F.col("no")) & (F.col("permission") == F.col("np")) & (F.col("subject") == F.col("nw")), "left")
+    q = stored(q.select("object", "permission", "subject", F.col("hit").isNotNull().alias("hit"), F.monotonically_increasing_id().alias("q")))
+    whos = q.where("not hit").select(F.col("subject").alias("s")).distinct()
+    held = _holders(t, schema, inner).join(whos, F.col("who") == F.col("s"), "left_semi").groupBy(F.concat("object", F.lit("#"), "definition").alias("node"), "who").agg(F.min("cost").alias("cost"))
+    held = stored(held)
+    ways = stored(_steps(t, _rules(schema, sets, inner)).groupBy(F.concat("object", F.lit("#"), "definition").alias("src"), F.col("child").alias("dst")).agg(F.min("cost").alias("cost"), F.max("tail").alias("tail")))
+    tails = tuples.sparkSession.createDataFrame([(d, 1 + max(_expansion(schema, kind, d).values()), kind) for kind, d in sorted(inner)] or [("", 0, "")], "d string, tail int, kind string")
+    names = ways.select(F.col("src").alias("name")).union(ways.select("dst")).union(held.select("node")).distinct()
+    own = (F.substring_index("name", "#", -1) == F.col("d")) & (F.substring_index("name", ":", 1) == F.col("kind"))
+    names = stored(names.join(F.broadcast(tails), own).select("name", "tail", F.monotonically_increasing_id().alias("id")))
+    ids = names.select("name", "id")
+    e = stored(ways.join(ids.toDF("sn", "s"), F.col("src") == F.col("sn")).join(ids.toDF("dn", "d"), F.col("dst") == F.col("dn")).select(F.col("s").alias("src"), F.col("d").alias("dst"), "cost"))
+    h = stored(held.join(ids, F.col("node") == F.col("name")).select("who", F.col("id").alias("h"), F.col("cost").alias("more")))
+    steps = _steps(t, first).join(ids, F.col("child") == F.col("name"), "left")
+    steps = steps.select(F.col("object").alias("so"), F.col("definition").alias("sp"), F.col("id").alias("via"), "cost", (F.col("cost") + F.col("tail") > limit).alias("over"))
+    steps = stored(steps.where("via is not null or over"))
+    forget(held, ways)
+    vias = stored(steps.where("via is not null").groupBy("via").agg(F.max("cost").alias("cost")))
+    reached, bound = _reached(e, names.select("id", "tail"), h.select(F.col("h").alias("id")).distinct(), vias.select("via"), limit)
+    to = q.where("not hit").join(steps.where("via is not null"), (F.col("object") == F.col("so")) & (F.col("permission") == F.col("sp")))
+    pairs = stored(to.select("q", "subject", "via", "cost"))
+    to = pairs.join(h, F.col("subject") == F.col("who")).select("q", F.col("via").alias("v"), "h", (F.col("cost") + F.col("more")).alias("more"))
+    hits = to.join(reached, (F.col("v") == F.col("via")) & (F.col("h") == F.col("target")) & (F.col("frames") + F.col("more") <= limit)).select(F.col("q").alias("hq")).distinct()
+    hits = stored(hits)
+    forget(pairs, h, reached)
+    allowed = q.where("hit").select("object", "permission", "subject", F.lit("ALLOW").alias("status"))
+    rest = q.where("not hit").join(hits.withColumn("far", F.lit(True)), F.col("q") == F.col("hq"), "left").select("object", "permission", "subject", F.col("far").isNotNull().alias("far"))
+    start = F.concat("so", F.lit("#"), "sp")
+    far = stored(bound.join(vias, F.col("id") == F.col("via")).where(F.col("u") + F.col("cost") > limit).select("id", "u"))
+    long = steps.where("over").select(start.alias("start")).unionByName(steps.join(far, F.col("via") == F.col("id")).where(F.col("u") + F.col("cost") > limit).select(start.alias("start")))
+    deep = [kind + ":" for kind, d in kinds if 1 + max(_expansion(schema, kind, d).values()) > limit]
+    if deep:
+        long = long.unionByName(q.where(F.substring_index("object", ":", 1).isin([x[:-1] for x in deep])).select(F.concat("object", F.lit("#"), "permission").alias("start")))
+    if long.isEmpty():
+        forget(steps, vias, far, names, e)
+        return allowed.unionByName(rest.select("object", "permission", "subject", F.when(F.col("far"), "ALLOW").otherwise("DENY").alias("status")))
+    _, cut = walk(frame_edges(tuples, schema), long, limit)
+    rest = rest.withColumn("start", F.concat("object", F.lit("#"), "permission")).join(cut.select(F.col("start").alias("cs"), F.lit(True).alias("cut")), F.col("start") == F.col("cs"), "left")
+    return allowed.unionByName(rest.select("object", "permission", "subject", F.when(F.col("far"), "ALLOW").when(F.col("cut"), "DEPTH").otherwise("DENY").alias("status")))
+
+
+def _known(asked: DataFrame, schema: Schema) -> set[tuple[str, str]]:
+    """(type, permission) of all questions. Every kind of question is held against the schema's own pairs; the first strange one is told."""
     spark = asked.sparkSession
     kind = lambda c: F.when(F.col(c).rlike("(?s)^[^:]+:.+"), F.substring_index(c, ":", 1))
     pairs = [(x.name, d) for x in schema.types.values() for d in (*x.relations, *x.permissions)]
     pairs = F.broadcast(spark.createDataFrame(pairs or [("", "")], "_type string, _name string"))
     types = F.broadcast(spark.createDataFrame([(x,) for x in schema.types] or [("",)], "_subject string"))
     kinds = asked.select(kind("object").alias("o"), "permission", kind("subject").alias("s")).distinct()
-    strange = kinds.join(pairs, (F.col("o") == F.col("_type")) & (F.col("permission") == F.col("_name")), "left").join(types, F.col("s") == F.col("_subject"), "left")
-    for r in strange.where("_type is null or _subject is null").limit(1).collect():
-        if r["o"] is None or r["s"] is None or r["permission"] is None:
-            raise SchemaError("a question needs names of the form type:id")
-        schema.define(r["o"], r["permission"])
-        schema.type(r["s"])
+    found = kinds.join(pairs, (F.col("o") == F.col("_type")) & (F.col("permission") == F.col("_name")), "left").join(types, F.col("s") == F.col("_subject"), "left")
+    strange = F.col("_type").isNull() | F.col("_subject").isNull()
+    rows = found.select("o", "permission", "s", strange.alias("strange")).orderBy(F.desc("strange")).limit(1 + sum(len(x.relations) + len(x.permissions) for x in schema.types.values()) * len(schema.types)).collect()
+    for r in rows[:1]:
+        if r["strange"]:
+            if r["o"] is None or r["s"] is None or r["permission"] is None:
+                raise SchemaError("a question needs names of the form type:id")
+            schema.define(r["o"], r["permission"])
+            schema.type(r["s"])
+    return {(r["o"], r["permission"]) for r in rows}
 
 
 def _whole(cut: DataFrame, limit: int) -> None:

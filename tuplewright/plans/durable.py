@@ -30,7 +30,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(folder)
     out._stored = folder
