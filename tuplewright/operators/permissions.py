@@ -188,40 +188,81 @@ def _holders(tuples: DataFrame, schema: Schema, definitions: set) -> DataFrame:
 
 
 def _heights(e: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-    """(id, u): the frames of the longest walk from each node, limit + 1 where there are more (so on a way to a cycle); nodes: (id, tail)."""
-    low = lambda c: F.least(c, F.lit(limit + 1))
-    now, before, total = stored(nodes.select("id", low(F.col("tail")).alias("u"))), None, None
+    """(id, values): the largest, over all walks from a node, of a walk's cost and the value at its end; limit + 1 where it is more.
+
+    nodes: (id, values). With values of 1 that is the frames of the longest walk, and more than the limit before any cycle.
+    """
+    low = lambda c: F.least(c, F.lit(limit + 1)).cast("int")
+    values = nodes.columns[1:]
+    now, before, total = stored(nodes.select("id", *(low(F.col(v)).alias(v) for v in values))), None, None
     while before is None or total != before:
         wider = now
         for _ in range(STEPS):
-            up = e.join(wider.toDF("n", "nu"), F.col("dst") == F.col("n")).select(F.col("src").alias("id"), low(F.col("nu") + F.col("cost")).alias("u"))
-            wider = wider.unionByName(up).groupBy("id").agg(F.max("u").alias("u"))
+            up = e.join(wider.withColumnRenamed("id", "n"), F.col("dst") == F.col("n")).select(F.col("src").alias("id"), *(low(F.col(v) + F.col("cost")).alias(v) for v in values))
+            wider = wider.unionByName(up).groupBy("id").agg(*(F.max(v).alias(v) for v in values))
         wider = stored(wider)
         forget(now)
         now, before = wider, total
-        total = now.agg(F.sum("u")).first()[0]
+        total = now.agg(F.coalesce(F.sum(sum((F.col(v) for v in values), F.lit(0))), F.lit(0))).first()[0]
     return now
 
 
+def _apart(schema: Schema, definitions: set) -> bool:
+    """Whether no two definitions come to the same name on their own object, so a frame lies just behind one of them."""
+    names = [(kind, n) for kind, d in definitions for n in _expansion(schema, kind, d)]
+    return len(names) == len(set(names))
+
+
+def _margins(e: DataFrame, nodes: DataFrame, heights: DataFrame, least: int, limit: int) -> DataFrame:
+    """(id, lo, up) of the nodes with heights over least: the frames of the shortest path to what is farthest away lie between them.
+
+    What such nodes come to over each other is exact, the rest lies in their heights. Walks start only where ways fork or may run
+    in a cycle; a node with one way on is as far from all as the next node, and its step more.
+    """
+    own = stored(heights.where(F.col("u") > least).select(F.col("id").alias("m")))
+    out = e.join(own, F.col("src") == F.col("m"), "left_semi").join(heights.where(F.col("u") <= least), F.col("dst") == F.col("id")).groupBy(F.col("src").alias("os")).agg(F.max(F.col("cost") + F.col("u")).alias("out"))
+    base = nodes.join(own, F.col("id") == F.col("m"), "left_semi").join(out, F.col("id") == F.col("os"), "left")
+    base = stored(base.select("id", F.col("tail").alias("lo"), F.greatest("tail", F.coalesce("out", "tail")).alias("up")))
+    if own.isEmpty():
+        return base
+    among = stored(e.join(own, F.col("src") == F.col("m"), "left_semi").join(own, F.col("dst") == F.col("m"), "left_semi"))
+    inward = _heights(among.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"), own.select(F.col("m").alias("id"), F.lit(1).alias("u")), limit)
+    anchors = inward.where(F.col("u") > limit).select("id").union(among.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select("src")).distinct()
+    anchors = stored(anchors.toDF("anchor"))
+    ways, cut = _walk(among, anchors, limit)
+    far = ways.join(base, F.col("node") == F.col("id")).select("start", (F.col("frames") + F.col("lo") - 1).alias("lo"), (F.col("frames") + F.col("up") - 1).alias("up"))
+    far = far.unionByName(cut.select("start", F.lit(limit + 1).alias("lo"), F.lit(limit + 1).alias("up")))
+    known = far.groupBy(F.col("start").alias("id")).agg(F.max("lo").alias("lo"), F.max("up").alias("up"))
+    ends = base.join(anchors, F.col("id") == F.col("anchor"), "left_anti").unionByName(known)
+    found = _heights(among.join(anchors, F.col("src") == F.col("anchor"), "left_anti"), ends, limit)
+    forget(own, base, among, inward, anchors, ways)
+    return found
+
+
 def _backward(vias: int, targets: int, nodes: int) -> bool:
     return targets < vias and vias * 8 > nodes
 
 
-def _reached(e: DataFrame, nodes: DataFrame, targets: DataFrame, vias: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """((via, target, frames), (id, u)): targets that vias reach, and a bound of the frames of any path from each via.
+def _reached(e: DataFrame, nodes: DataFrame, targets: DataFrame, vias: DataFrame, least: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """((via, target, frames), (id, lo, up)): targets that vias reach, and bounds of how far all lies that they reach.
 
-    Walks from the vias, or backward from the targets where vias are many and targets fewer. nodes: (id, tail).
+    Walks from the vias, or backward from the targets where vias are many and targets fewer. nodes: (id, tail). The frames of the
+    shortest path to what is farthest from a via lie between lo and up. A via without a row has no path of more than least frames, and doesn't come to what others are far from.
     """
     if _backward(vias.count(), targets.count(), nodes.count()):
         back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")
         ways, _ = _walk(back, targets, limit)
         found = stored(ways.toDF("target", "via", "frames").join(vias.toDF("v"), F.col("via") == F.col("v"), "left_semi"))
         forget(ways)
-        return found, _heights(e, nodes, limit)
+        heights = _heights(e, nodes.withColumnRenamed("tail", "u"), limit)
+        margins = _margins(e, nodes, heights, least, limit)
+        forget(heights)
+        return found, margins
     ways, cut = _walk(e, vias, limit)
-    ends = ways.join(nodes, F.col("node") == F.col("id")).groupBy("start").agg(F.max(F.col("frames") + F.col("tail") - 1).alias("u"))
-    bound = ends.unionByName(cut.select("start", F.lit(limit + 1).alias("u"))).groupBy(F.col("start").alias("id")).agg(F.max("u").alias("u"))
-    return stored(ways.toDF("via", "target", "frames").join(targets.toDF("t"), F.col("target") == F.col("t"), "left_semi")), bound
+    ends = ways.join(nodes, F.col("node") == F.col("id")).select("start", (F.col("frames") + F.col("tail") - 1).alias("u"))
+    ends = ends.unionByName(cut.select("start", F.lit(limit + 1).alias("u"))).groupBy("start").agg(F.max("u").alias("u"))
+    margins = stored(ends.select(F.col("start").alias("id"), F.col("u").alias("lo"), F.col("u").alias("up")))
+    return stored(ways.toDF("via", "target", "frames").join(targets.toDF("t"), F.col("target") == F.col("t"), "left_semi")), margins
 
 
 def check(tuples: DataFrame, schema: Schema, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -261,28 +302,34 @@ def check(tuples: DataFrame, schema: Schema, questions: DataFrame, limit: int =
     steps = steps.select(F.col("object").alias("so"), F.col("definition").alias("sp"), F.col("id").alias("via"), "cost", (F.col("cost") + F.col("tail") > limit).alias("over"))
     steps = stored(steps.where("via is not null or over"))
     forget(held, ways)
-    vias = stored(steps.where("via is not null").groupBy("via").agg(F.max("cost").alias("cost")))
-    reached, bound = _reached(e, names.select("id", "tail"), h.select(F.col("h").alias("id")).distinct(), vias.select("via"), limit)
-    to = q.where("not hit").join(steps.where("via is not null"), (F.col("object") == F.col("so")) & (F.col("permission") == F.col("sp")))
-    pairs = stored(to.select("q", "subject", "via", "cost"))
+    vias = stored(steps.where("via is not null").select("via").distinct())
+    least = limit - max((x[6] for x in first), default=0)
+    reached, margins = _reached(e, names.select("id", "tail"), h.select(F.col("h").alias("id")).distinct(), vias, least, limit)
+    pairs = q.where("not hit").join(steps.where("via is not null"), (F.col("object") == F.col("so")) & (F.col("permission") == F.col("sp")))
+    pairs = stored(pairs.select("q", "subject", "via", "cost"))
+    long = steps.where("over").select(F.concat("so", F.lit("#"), "sp").alias("start"))
+    deep = [kind for kind, d in kinds if 1 + max(_expansion(schema, kind, d).values()) > limit]
+    long = stored(long.unionByName(q.where(F.substring_index("object", ":", 1).isin(deep)).select(F.concat("object", F.lit("#"), "permission").alias("start"))))
+    forget(steps, vias, names, e)
+    # a frame beyond the limit is told by one via's own bounds if nothing else on the way from the start comes to it
+    alone = not kinds & inner and _apart(schema, kinds | inner)
+    flags = pairs.join(margins, F.col("via") == F.col("id")).groupBy("q").agg((F.min("via") == F.max("via")).alias("one"), F.min(F.col("lo") + F.col("cost")).alias("lo"), F.max(F.col("up") + F.col("cost")).alias("up"))
+    flags = stored(flags.where(F.col("up") > limit).select("q", (F.lit(alone) & F.col("one") & (F.col("lo") > limit)).alias("sure")))
     to = pairs.join(h, F.col("subject") == F.col("who")).select("q", F.col("via").alias("v"), "h", (F.col("cost") + F.col("more")).alias("more"))
-    hits = to.join(reached, (F.col("v") == F.col("via")) & (F.col("h") == F.col("target")) & (F.col("frames") + F.col("more") <= limit)).select(F.col("q").alias("hq")).distinct()
+    hits = to.join(reached, (F.col("v") == F.col("via")) & (F.col("h") == F.col("target")) & (F.col("frames") + F.col("more") <= limit)).select("q").distinct()
     hits = stored(hits)
-    forget(pairs, h, reached)
-    allowed = q.where("hit").select("object", "permission", "subject", F.lit("ALLOW").alias("status"))
-    rest = q.where("not hit").join(hits.withColumn("far", F.lit(True)), F.col("q") == F.col("hq"), "left").select("object", "permission", "subject", F.col("far").isNotNull().alias("far"))
-    start = F.concat("so", F.lit("#"), "sp")
-    far = stored(bound.join(vias, F.col("id") == F.col("via")).where(F.col("u") + F.col("cost") > limit).select("id", "u"))
-    long = steps.where("over").select(start.alias("start")).unionByName(steps.join(far, F.col("via") == F.col("id")).where(F.col("u") + F.col("cost") > limit).select(start.alias("start")))
-    deep = [kind + ":" for kind, d in kinds if 1 + max(_expansion(schema, kind, d).values()) > limit]
-    if deep:
-        long = long.unionByName(q.where(F.substring_index("object", ":", 1).isin([x[:-1] for x in deep])).select(F.concat("object", F.lit("#"), "permission").alias("start")))
-    if long.isEmpty():
-        forget(steps, vias, far, names, e)
-        return allowed.unionByName(rest.select("object", "permission", "subject", F.when(F.col("far"), "ALLOW").otherwise("DENY").alias("status")))
-    _, cut = walk(frame_edges(tuples, schema), long, limit)
-    rest = rest.withColumn("start", F.concat("object", F.lit("#"), "permission")).join(cut.select(F.col("start").alias("cs"), F.lit(True).alias("cut")), F.col("start") == F.col("cs"), "left")
-    return allowed.unionByName(rest.select("object", "permission", "subject", F.when(F.col("far"), "ALLOW").when(F.col("cut"), "DEPTH").otherwise("DENY").alias("status")))
+    forget(pairs, h, reached, margins)
+    marks = hits.withColumn("mark", F.lit(2)).unionByName(flags.where("sure").select("q", F.lit(1).alias("mark"))).groupBy(F.col("q").alias("mq")).agg(F.max("mark").alias("mark"))
+    rest = q.where("not hit").join(marks, F.col("q") == F.col("mq"), "left")
+    unsure = q.join(flags.where("not sure").withColumnRenamed("q", "fq"), F.col("q") == F.col("fq"), "left_semi").select(F.concat("object", F.lit("#"), "permission").alias("start"))
+    long = stored(long.unionByName(unsure).distinct())
+    cut = F.lit(False)
+    if not long.isEmpty():
+        _, beyond = _walk(stored(frame_edges(tuples, schema)), long, limit)
+        rest = rest.withColumn("start", F.concat("object", F.lit("#"), "permission")).join(beyond.select(F.col("start").alias("cs"), F.lit(True).alias("cut")), F.col("start") == F.col("cs"), "left")
+        cut = F.col("cut")
+    status = F.when(F.col("mark") == 2, "ALLOW").when((F.col("mark") == 1) | cut, "DEPTH").otherwise("DENY")
+    return q.where("hit").select("object", "permission", "subject", F.lit("ALLOW").alias("status")).unionByName(rest.select("object", "permission", "subject", status.alias("status")))
 
 
 def _known(asked: DataFrame, schema: Schema) -> set[tuple[str, str]]:
