@@ -87,3 +87,15 @@ def test_counts_are_made_where_pairs_are_found(spark):
     assert {tuple(r) for r in counts.collect()} == {(k, 10 + 10 * 300) for k in range(300)} | {(300, 0)}
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_many_counts_are_made_in_parts(spark, monkeypatch):
+    """3,000 first steps, and never more than a third of them or so shuffled with their lists at once."""
+    made, keep = [], packed.stored
+    monkeypatch.setattr(packed, "stored", lambda df: made.append((df.columns, (out := keep(df)).count())) or out)
+    monkeypatch.setattr(packed, "AT_ONCE", 1000, raising=False)
+    e = spark.range(300).selectExpr("id a", "explode(sequence(1000L, 1009L)) b").union(spark.range(1000, 1010).selectExpr("id", "explode(sequence(id * 1000, id * 1000 + 299))"))
+    counts = graph.khop_counts(e, spark.range(301), 2)
+    assert sorted(map(tuple, counts.collect())) == [(k, 10 + 10 * 300) for k in range(300)] + [(300, 0)]
+    parts = [n for columns, n in made if columns == ["start", "found"]]
+    assert len(parts) == 4 and sum(parts) == 301 and max(parts) <= 120

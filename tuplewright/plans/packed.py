@@ -7,6 +7,7 @@ Nodes are longs. A task holds a batch of neighbours and what it has found of one
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,25 +173,36 @@ def _steps(e: DataFrame, nodes: DataFrame, depth: int) -> tuple[DataFrame, list[
     return rows.repartition("src").sortWithinPartitions("src"), out, [first, packs]
 
 
-def _prepared(edges: DataFrame, starts: DataFrame, depth: int) -> tuple[DataFrame, list[str]]:
+def _prepared(edges: DataFrame, starts: DataFrame, depth: int) -> tuple[DataFrame, list[str], list[DataFrame]]:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if edges.sparkSession.conf.get(key, None) is None:
         edges.sparkSession.conf.set(key, str(16 * BYTES))
     e = stored(edges.toDF("src", "dst").where("src is not null and dst is not null").selectExpr("cast(src as long) src", "cast(dst as long) dst").distinct())
     nodes = starts.toDF("start").where("start is not null").selectExpr("cast(start as long) start").distinct()
-    rows, lists, _ = _steps(e, nodes, depth)
+    rows, lists, used = _steps(e, nodes, depth)
     if depth > 1:
         forget(e)
-    return rows, lists
+    return rows, lists, used
 
 
 def reach_packed(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth) as fixpoint.reach, for longs and a depth of 1 or more."""
-    rows, lists = _prepared(edges, starts, depth)
+    rows, lists, _ = _prepared(edges, starts, depth)
     return rows.mapInArrow(_rows(lists), "start long, node long, depth int")
 
 
+#: First steps whose lists are shuffled at once when only counts are asked for.
+AT_ONCE = 8_000_000
+
+
 def reach_counts(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, found): how many nodes reach_packed finds, the start included."""
-    rows, lists = _prepared(edges, starts, depth)
-    return rows.mapInArrow(_counts(lists), "start long, found long")
+    """(start, found): how many nodes reach_packed finds, the start included. Many starts are counted in parts, one after the other."""
+    rows, lists, used = _prepared(edges, starts, depth)
+    counts = lambda part: part.mapInArrow(_counts(lists), "start long, found long")
+    parts = 1 + used[0].count() // AT_ONCE if used else 1
+    if parts == 1:
+        return counts(rows)
+    # not the hash that deals rows to tasks, so each part keeps all tasks busy
+    done = [stored(counts(rows.where(F.pmod(F.xxhash64("src"), F.lit(parts)) == k))) for k in range(parts)]
+    forget(*used)
+    return reduce(DataFrame.unionByName, done)
